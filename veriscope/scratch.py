@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; set to a temporary one only where the session has none."""
+    """The shared folder; a temporary one of this machine only where the session names none."""
     found = spark.conf.get(_CONF, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veriscope-")
-        spark.conf.set(_CONF, found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="veriscope-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
