@@ -1,8 +1,16 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from veriscope.llm.bpe import op5_bpe
+from veriscope.llm.brown import op7_brown
+from veriscope.llm.langid import op9_crf
+from veriscope.llm.pii import op2_pii
+from veriscope.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op6_simhash": op6_simhash,
+    "op7_brown": op7_brown,
+    "op9_crf": op9_crf,
     "op5_bpe": op5_bpe,
 }
 ORACLE: dict[str, str] = {}
