@@ -1,16 +1,26 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+from veriscope.llm.ann import op8_ann
 from veriscope.llm.bpe import op5_bpe
 from veriscope.llm.brown import op7_brown
 from veriscope.llm.langid import op9_crf
+from veriscope.llm.mixing import OP3_SQL, op3_mixing
 from veriscope.llm.pii import op2_pii
+from veriscope.llm.quality import op1_quality
+from veriscope.llm.secrets import op4_secrets
 from veriscope.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op6_simhash": op6_simhash,
     "op7_brown": op7_brown,
+    "op8_ann": op8_ann,
     "op9_crf": op9_crf,
+    "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+}
