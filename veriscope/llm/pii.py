@@ -110,7 +110,7 @@ def _context(text: str, start: int, words: frozenset) -> bool:
 
 #: Each labeler votes 1 (personal), -1 (not) or 0 (abstains) on (kind, span's text, whole text, start).
 def _by_base(kind, s, text, start):
-    return 1 if kind in KINDS else -1
+    return 1 if kind in KINDS else 0
 
 
 def _by_check(kind, s, text, start):
@@ -132,7 +132,7 @@ def _by_gazetteer(kind, s, text, start):
 
 
 def _by_announcement(kind, s, text, start):
-    return 1 if _context(text, start, ANNOUNCE) else 0
+    return 1 if _context(text, start, ANNOUNCE) else 0 if kind in KINDS else -1
 
 
 def _by_other_use(kind, s, text, start):
@@ -141,7 +141,7 @@ def _by_other_use(kind, s, text, start):
 
 def _by_notation(kind, s, text, start):
     if kind in ("phone", "local"):
-        return 1 if re.search(r"[() .-]", s) else -1
+        return 1 if s[0] in "(+0" else 0
     if kind == "mailto":
         return 1 if re.search(r"[\[(]|@|\bdot\b", s, re.IGNORECASE) else -1
     return 0

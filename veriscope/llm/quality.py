@@ -29,11 +29,13 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 KEEP = 0.5
 ROUNDS = 25
-#: For each rule: the quantity, and from where on it votes good and bad; in between it abstains.
-RULES = ("symbols", "shouts", "capitals", "lines", "repeats", "variety", "length")
+#: The first six know one fault each: they vote bad where they see it and abstain elsewhere, for its
+#: absence says nothing about other faults.  The last three know what prose looks like as a whole.
+RULES = ("symbols", "shouts", "capitals", "lines", "repeats", "variety", "plain", "sentences", "fluent")
+ODD = "#*$%&|<>!@^_~`\\{}[]"
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Chances of a bad, abstaining and good vote that the estimation starts from, for bad and good texts.
-START = {"bad": (0.5, 0.3, 0.2), "good": (0.1, 0.3, 0.6)}
+START = {"bad": (0.25, 0.35, 0.4), "good": (0.01, 0.34, 0.65)}
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good", "votes")
 
 
@@ -88,18 +90,23 @@ def facts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
         repeated_words(w).alias("n_repeat_words"),
         F.size(F.array_distinct(w)).cast("long").alias("distinct_"),
         _less(t, "!").alias("shouts_"),
+        _less(t, ".").alias("stops_"),
+        _less(t, ODD).alias("odd_"),
         _less(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals_"),
     )
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     dup, every = F.col("lines_.dup"), F.greatest(F.col("lines_.all"), F.lit(1))
+    never, caps = F.lit(False), F.col("capitals_")
     votes = (
-        _vote(F.col("n_symbols") * 50 < n, F.col("n_symbols") * 8 > n),
-        _vote(F.col("shouts_") * 20 < n, F.col("shouts_") * 5 > n),
-        _vote(F.col("capitals_") * 8 < chars, F.col("capitals_") * 3 > chars),
-        _vote((dup == 0) & (F.col("lines_.all") > 2), dup * 3 > every),
-        _vote((F.col("n_repeat_words") * 20 < n) & (F.col("n_words") > 20), F.col("n_repeat_words") * 5 > n),
-        _vote(F.col("distinct_") * 2 >= n, (F.col("distinct_") * 2 < n) & (F.col("n_words") < 5000) | (F.col("distinct_") * 10 < n)),
-        _vote(F.col("n_words") >= 40, F.col("n_words") < LEAST_WORDS),
+        _vote(never, F.col("n_symbols") * 8 > n),
+        _vote(never, F.col("shouts_") * 5 > n),
+        _vote(never, caps * 3 > chars),
+        _vote(never, dup * 3 > every),
+        _vote(never, F.col("n_repeat_words") * 5 > n),
+        _vote(never, (F.col("distinct_") * 2 < n) & (F.col("n_words") < 2000) | (F.col("distinct_") * 10 < n)),
+        _vote(F.col("odd_") * 100 < chars, F.col("odd_") * 10 > chars),
+        _vote(((F.col("stops_") * 40 > n) | (n < 40)) & (F.col("stops_") * 3 <= n) & (caps * 8 < chars), never),
+        _vote((F.col("distinct_") * 2 >= n) & (F.col("n_repeat_words") * 20 < n) & (F.col("n_words") > 20), never),
     )
     code = sum((v * 3**i for i, v in enumerate(votes[1:], 1)), start=votes[0])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
