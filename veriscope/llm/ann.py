@@ -164,11 +164,15 @@ def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int)
     """Each query's ``k`` best rows of a chunk; near ties are scored one way whatever the block."""
     rough = q @ v.T
     rough[qid[:, None] == vid] = -np.inf
-    m = min(k, len(vid))
+    m = min(k + len(vid) - len(np.unique(vid)), len(vid))  # an id may be repeated
     edge = np.partition(rough, len(vid) - m, axis=1)[:, len(vid) - m]
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
     a, b = np.nonzero((rough >= (np.where(np.isfinite(edge), edge, -np.finfo(float).max) - slack)[:, None]) & np.isfinite(rough))
     score = np.concatenate([(q[a[i : i + 65536]] * v[b[i : i + 65536]]).sum(1) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
+    once = np.lexsort((-score, vid[b], a))
+    a, b, score = a[once], b[once], score[once]
+    once = np.concatenate(([True], (a[1:] != a[:-1]) | (vid[b[1:]] != vid[b[:-1]]))) if len(a) else np.zeros(0, bool)
+    a, b, score = a[once], b[once], score[once]
     order = np.lexsort((vid[b], -score, a))
     a, b, score = a[order], b[order], score[order]
     first = np.searchsorted(a, a)

@@ -9,6 +9,7 @@ from veriscope.llm.pii import op2_pii
 from veriscope.llm.quality import op1_quality
 from veriscope.llm.secrets import op4_secrets
 from veriscope.llm.simhash import op6_simhash
+from veriscope.llm.suffix import op10_suffix
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_brown": op7_brown,
     "op8_ann": op8_ann,
     "op9_crf": op9_crf,
+    "op10_suffix": op10_suffix,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
 }
