@@ -77,11 +77,11 @@ def test_tokenized(stages):
 
 
 def test_hard_rows(spark, hard, empty):
-    rows = hard
     for name, stage in corpus_pipeline.STAGES:
-        rows = stage(spark, rows, "")
+        n = stage(spark, hard, "").count()
+        # the first two filter; the others return every row
+        assert n == hard.count() if name not in ("quality_rules", "simhash_near_dedup") else n < hard.count(), name
         assert stage(spark, empty, "").count() == 0, name
-    assert rows.count() > 0
     copies = hard.unionByName(hard).filter("doc_id is null or doc_id > 4")
     kept = corpus_pipeline.one_of_copies(spark, copies, "")
     assert kept.groupBy("doc_id").count().filter("doc_id is not null and count > 1").count() == 0
