@@ -21,7 +21,7 @@ _own: list[str] = []
 
 def folder(spark: SparkSession) -> str:
     """The shared folder; a temporary one of this machine only where the session names none."""
-    found = spark.conf.get(_CONF, None)
+    found = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="veriscope-"))
