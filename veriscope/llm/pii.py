@@ -177,7 +177,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         word = text[s:e]
         votes = "".join("-0+"[f(kind, word, text, s) + 1] for f in LABELERS)
         digits = sum(map(str.isdigit, word))
-        shape = (f"k={kind}", f"d={min(digits, 20) // 4}", f"g={min(4, len(re.findall('[0-9]+', word)))}", f"a={_context(text, s, ANNOUNCE):d}", f"o={_context(text, s, OTHER):d}", f"p={re.sub('[0-9]', '9', word[:1])[:1]}", f"n={text[e : e + 1].isalnum():d}", f"b={text[s - 1 : s].isalnum():d}" if s else "b=0")
+        shape = (f"k={kind}", f"d={min(digits, 20) // 4}", f"g={min(4, len(re.findall('[0-9]+', word)))}", f"a={_context(text, s, ANNOUNCE):d}", f"o={_context(text, s, OTHER):d}", f"p={'9' if word[0].isdigit() else 'L' if word[0].isalpha() else word[0]}", f"n={text[e : e + 1].isalnum():d}", f"b={text[s - 1 : s].isalnum():d}" if s else "b=0")
         out.append((kind, s, e, votes, "\x1f".join(shape)))
     return out
 
@@ -277,7 +277,8 @@ def pii(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text
         m[0] += n * p
         m[1] += n * (1 - p)
     weights = train([(f, *m) for f, m in sorted(mass.items())])
-    score = {f: classify(f, weights) for f in mass}
+    # base spans stay whatever their score
+    score = {f: classify(f, weights) for f in mass if f.split("\x1f")[0][2:] in MORE}
 
     more = F.filter("found", lambda c: c["kind"].isin(*MORE))
     return found.select(*keep, "base", more.alias("more")).transform(lambda d: _scored(d, keep, score, threshold, span))

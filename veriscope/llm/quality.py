@@ -156,4 +156,52 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir))
+    return quality(documents(spark, sf_dir)).withColumn("p_good", F.round("p_good", 6))
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, the rounds of estimation as a recursion over one row."""
+    n, spaces = len(RULES), r"[\x20\x09-\x0D]+"
+    first = {k: "[" + ", ".join(f"{x}::DOUBLE" for _ in range(n) for x in v) + "]" for k, v in START.items()}
+    powers = "[" + ", ".join(str(3**r) for r in range(n)) + "]"
+
+    def less(chars: str) -> str:
+        return f"(length(t) - length(translate(t, '{chars}', '')))"
+
+    def logs(theta: str, v: str = "x.v") -> str:
+        return f"list_sum(list_transform(range(0, {n}), lambda r: ln({theta}[3 * r + {v}[r + 1] + 1])))"
+
+    def sums(weight: str, start: str) -> str:
+        return f"list_transform(range(0, {3 * n}), lambda k: 20 * {first[start]}[k + 1] + coalesce(list_sum(list_transform(list_filter(e, lambda x: x.v[k // 3 + 1] = k % 3), lambda x: x.n * {weight})), 0))"
+
+    def shares(m: str) -> str:
+        return f"list_transform(range(0, {3 * n}), lambda k: {m}[k + 1] / ({m}[3 * (k // 3) + 1] + {m}[3 * (k // 3) + 2] + {m}[3 * (k // 3) + 3]))"
+
+    def p(v: str) -> str:
+        return f"1 / (1 + exp(ln(1 - prior) + {logs('bad', v)} - ln(prior) - {logs('good', v)}))"
+
+    return f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{spaces}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT list(struct_pack(r := row, i := i)) AS at FROM (SELECT row, i, array_slice(w, i, i + {WINDOW - 1}) AS g FROM w, unnest(range(1, len(w) - {WINDOW - 2})) u(i)) GROUP BY row, g HAVING count(*) > 1),
+c AS (SELECT r, count(DISTINCT p) AS again FROM (SELECT a.r AS r, unnest(range(a.i, a.i + {WINDOW})) AS p FROM (SELECT unnest("at") AS a FROM g)) GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{spaces}', '', 'g'))::BIGINT AS word_chars, {less(SYMBOLS)}::BIGINT AS n_symbols, len(l)::BIGINT AS lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words, len(list_distinct(w)) AS variety, {less('!')} AS shouts, {less('.')} AS stops, {less(ODD)} AS odd,
+  {less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS caps, greatest(len(w), 1) AS n, greatest(length(regexp_replace(t, '{spaces}', '', 'g')), 1) AS chars FROM w LEFT JOIN c ON r = row),
+v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, [
+  CASE WHEN n_symbols * 8 > n THEN 0 ELSE 1 END, CASE WHEN shouts * 5 > n THEN 0 ELSE 1 END, CASE WHEN caps * 3 > chars THEN 0 ELSE 1 END,
+  CASE WHEN n_dup_lines * 3 > greatest(lines, 1) THEN 0 ELSE 1 END, CASE WHEN n_repeat_words * 5 > n THEN 0 ELSE 1 END, CASE WHEN variety * 2 < n AND n_words < 2000 OR variety * 10 < n THEN 0 ELSE 1 END,
+  CASE WHEN odd * 10 > chars THEN 0 WHEN odd * 100 < chars THEN 2 ELSE 1 END, CASE WHEN (stops * 40 > n OR n < 40) AND stops * 3 <= n AND caps * 8 < chars THEN 2 ELSE 1 END,
+  CASE WHEN variety * 2 >= n AND n_repeat_words * 20 < n AND n_words > 20 THEN 2 ELSE 1 END] AS v FROM f),
+k AS (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS rows FROM (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v)),
+em AS (SELECT 0 AS it, 0.5::DOUBLE AS prior, {first["good"]} AS good, {first["bad"]} AS bad
+  UNION ALL SELECT it, greatest(0.001::DOUBLE, least(0.999::DOUBLE, (1 + list_sum(list_transform(e, lambda x: x.n * x.p))) / (2 + list_sum(list_transform(e, lambda x: x.n))))), {shares("g")}, {shares("b")}
+  FROM (SELECT it, e, {sums("x.p", "good")} AS g, {sums("(1 - x.p)", "bad")} AS b
+    FROM (SELECT it + 1 AS it, list_transform(rows, lambda x: struct_pack(v := x.v, n := x.n, p := {p("x.v")})) AS e FROM em, k WHERE it < {ROUNDS}))),
+s AS (SELECT v.*, {p("v")} AS p FROM v, em WHERE it = {ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= {KEEP} AS kept, round(p, 6) AS p_good,
+  list_sum(list_transform(range(0, {n}), lambda r: v[r + 1] * {powers}[r + 1]))::INT AS votes FROM s
+"""
+
+
+OP1_SQL = _sql()

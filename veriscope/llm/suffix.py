@@ -341,3 +341,18 @@ def repeated(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(documents(spark, sf_dir))
+
+
+#: The same in DuckDB's SQL, for tables of single documents with ids.
+OP10_SQL = """
+WITH s AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT list(doc_id * 4294967296 + i) AS "at" FROM (SELECT doc_id, i, array_slice(b, i, i + 99) AS w FROM s, unnest(range(1, n - 98)) u(i)) GROUP BY w HAVING count(*) > 1),
+g AS (SELECT p // 4294967296 AS doc_id, p % 4294967296 AS i FROM (SELECT unnest(list_slice(list_sort("at"), 2, len("at"))) AS p FROM w)),
+x AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM g),
+y AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM x),
+z AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS e FROM y GROUP BY doc_id, k),
+t AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, list([a, e] ORDER BY a) AS cut FROM z GROUP BY 1),
+k AS (SELECT s.doc_id, b, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([[0::BIGINT, 0::BIGINT]], coalesce(cut, [])) AS cut FROM s LEFT JOIN t USING (doc_id))
+SELECT doc_id, n AS n_bytes, n_removed, n_spans,
+  sha256(unhex(array_to_string(list_transform(range(1, len(cut) + 1), lambda j: hex(array_slice(b, cut[j][2] + 1, CASE WHEN j = len(cut) THEN n ELSE cut[j + 1][1] - 1 END))), ''))) AS kept_sha256 FROM k
+"""
