@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K, EVERY = 20, 20
-SAMPLE, LISTS, LIST_ROWS = 40_000, 4096, 200
+SAMPLE, LISTS, LIST_ROWS = 40_000, 4096, 1000
 #: A vector also goes to lists this much farther than its nearest, to so many at most.
 BOUNDARY, REPLICAS = 1.10, 4
 #: A query takes lists up to this much farther than its nearest, and at least so many rows of them.
-RATIO, LEAST_ROWS = 1.25, 400
+RATIO, LEAST_ROWS = 1.15, 400
 NEIGHBOURS, ROUNDS = 16, 6
 CHUNK, QUERY_CHUNK = 512, 256
 
