@@ -5,7 +5,7 @@ product is the smallest distance.  A bounded sample is bisected into balanced ce
 after a few rounds of refinement, are the centroids of posting lists.  Every vector goes to its
 nearest list, and at a boundary to the others that are nearly as near and not behind one that is
 chosen.  A query walks an in-memory graph of the centroids and takes every list that is not much
-farther than its nearest.  Lists are read in chunks, so neither a list nor a vector that a third of
+farther than its nearest; what its nearest list has sets the score that others have to reach.  Lists are read in chunks, so neither a list nor a vector that a third of
 the rows share makes a large task; scores are exact, in double precision on the original vectors.
 
 Bounds: ``SAMPLE`` vectors and ``LISTS`` centroids at the driver and in each task.  Every row is
@@ -24,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriscope import scratch
+
 K, EVERY = 20, 20
 SAMPLE, LISTS, LIST_ROWS = 40_000, 4096, 1000
 #: A vector also goes to lists this much farther than its nearest, to so many at most.
 BOUNDARY, REPLICAS = 1.10, 4
 #: A query takes lists up to this much farther than its nearest, and at least so many rows of them.
-RATIO, LEAST_ROWS = 1.15, 400
+RATIO, LEAST_ROWS = 1.15, 4000
 NEIGHBOURS, ROUNDS = 16, 6
 CHUNK, QUERY_CHUNK = 512, 256
 
@@ -160,10 +162,12 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1))
 
 
-def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's ``k`` best rows of a chunk; near ties are scored one way whatever the block."""
+def best(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's ``k`` best rows of a chunk, if they reach its floor; near ties are scored one way
+    whatever the block."""
     rough = q @ v.T
     rough[qid[:, None] == vid] = -np.inf
+    rough[rough < (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None]] = -np.inf
     m = min(k + len(vid) - len(np.unique(vid)), len(vid))  # an id may be repeated
     edge = np.partition(rough, len(vid) - m, axis=1)[:, len(vid) - m]
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
@@ -198,7 +202,7 @@ def neighbours(vectors: DataFrame, *, k: int = K, every: int = EVERY, id_col: st
     sample = rows.filter(F.xxhash64("id") <= -(1 << 63) + share).select("v").distinct().limit(2 * SAMPLE).toPandas()
     points = lifted(_matrix(sample["v"]), top) if len(sample) else np.zeros((1, width["n"] + 1))
     graph = spark.sparkContext.broadcast(Graph(bisected(points, lists)))
-    index = "list int, id bigint, v array<double>"
+    index = "list int, id bigint, v array<double>, nearest boolean"
 
     def spread(make):
         def run(batches):
@@ -207,7 +211,8 @@ def neighbours(vectors: DataFrame, *, k: int = K, every: int = EVERY, id_col: st
                     part = b.iloc[i : i + 512]
                     own = make(_matrix(part["v"]))
                     at = np.repeat(np.arange(len(part)), [len(o) for o in own])
-                    yield pd.DataFrame({"list": np.concatenate(own).astype(np.int32), "id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                    nearest = np.concatenate(([True], at[1:] != at[:-1]))
+                    yield pd.DataFrame({"list": np.concatenate(own).astype(np.int32), "id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "nearest": nearest})
 
         return run
 
@@ -224,18 +229,25 @@ def neighbours(vectors: DataFrame, *, k: int = K, every: int = EVERY, id_col: st
     cut = F.broadcast(cut)  # a row for each list
     salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
     v = stored.join(cut, "list").select("list", (salt % F.col("vs")).alias("vc"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qc"), "id", "v")
-    q = queries.join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vc"), (salt % F.col("qs")).alias("qc"), "id", "v")
+    q = queries.join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vc"), (salt % F.col("qs")).alias("qc"), "id", "v", "nearest")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return best(a["id"].to_numpy(), _matrix(a["v"]), b["id"].to_numpy(), _matrix(b["v"]), k)
-
-    group = ["list", "vc", "qc"]
-    found = q.groupBy(*group).cogroup(v.groupBy(*group)).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
-    # a query has k candidates of each chunk that it asked, so its window is bounded
+        return best(a["id"].to_numpy(), _matrix(a["v"]), a["floor"].to_numpy(np.float64), b["id"].to_numpy(), _matrix(b["v"]), k)
+
+    def scored(asking: DataFrame) -> DataFrame:
+        group = ["list", "vc", "qc"]
+        return asking.groupBy(*group).cogroup(v.groupBy(*group)).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
+
+    least = F.lit(float("-inf"))
+    first = scratch.table(scored(q.filter("nearest").withColumn("floor", least)), "nearest")
+    # a query has k candidates of each chunk of one list, so the array is bounded
+    floor = first.groupBy(F.col("query_id").alias("id")).agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("floor"))
+    others = scored(q.filter("not nearest").join(floor, "id", "left").withColumn("floor", F.coalesce("floor", least)))
+    found = first.unionByName(others).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = "row_number() over (partition by query_id order by score desc, vec_id)"
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.expr(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.expr(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
