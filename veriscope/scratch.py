@@ -2,8 +2,9 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset (tests,
 a laptop) a temporary folder of this machine is named instead.  A table in it survives the loss of
-any executor, is read back by column, and has a lineage of one file scan.  Tables live until
-:func:`release` or the end of the driver's Python process.
+any executor, is read back by column, and has a lineage of one file scan.  Tables live until they are
+dropped, :func:`release`, or the end of the driver's Python process: call ``release`` between jobs of a
+long session, when nothing reads their results any more.
 """
 
 from __future__ import annotations
@@ -48,10 +49,12 @@ def drop(df: DataFrame) -> None:
                 break
 
 
-def release() -> None:
-    """Delete every table made here."""
-    while _made:
-        _delete(*_made.pop())
+def release(keep: DataFrame | None = None) -> None:
+    """Delete every table made here, but for the one that ``keep`` was read from."""
+    held = {f.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    for made in [m for m in _made if m[1].split(":")[-1].lstrip("/") not in held]:
+        _made.remove(made)
+        _delete(*made)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
