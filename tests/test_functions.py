@@ -136,4 +136,5 @@ def test_text(spark):
     assert [tuple(r) for r in got] == [("a", "str"), ("[1, 2]", "list"), ("q", "str"), ("no", "str"), (None, None)]
     assert values(spark, ["a b", "A ab"], "string", lambda x: T.renamed_words(x, {"a": "z$1"})) == ["z$1 b", "A ab"]
     assert values(spark, ["$1 $10"], "string", lambda x: T.filled(x, F.array(F.lit("p"), F.lit("q")))) == ["q q0"]
-    assert values(spark, ["D"], "string", lambda x: T.shifted_answer(x, F.array(F.lit("A"), F.lit("C")))) == ["B"]
+    # after A has gone the answer is C, which C does not stand before
+    assert values(spark, ["D", "B", "A"], "string", lambda x: T.shifted_answer(x, F.array(F.lit("A"), F.lit("C")))) == ["C", "A", "A"]

@@ -76,7 +76,7 @@ def execute(programs: DataFrame, keep: list[str], *, seconds: int = SECONDS, mem
     """
     have = set(programs.columns)
     absent = {"function": "string", "args": "string", "tests": "map<string,string>"}
-    full = programs.select(*keep, "source", *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in absent.items()])
+    full = programs.select(*keep, *["source"] * ("source" not in keep), *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in absent.items() if c not in keep])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.select(*keep).schema.fields) + ", " + _RESULT
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

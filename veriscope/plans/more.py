@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ast
+import uuid
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veriscope import scratch
 from veriscope.functions import outcome as O
 from veriscope.functions.programs import same_answer, value_of
+from veriscope.functions.text import literal_answer, prompt_for
 from veriscope.operators import metrics as M
 from veriscope.plans.base import ALIGNED, LOG, log, table
 from veriscope.plans.outcomes import _CATEGORY, _LOG_NAME, THRESHOLDS, _by_category, _log_name, aligned
@@ -129,10 +135,6 @@ def o4(s, d):
 @query("s8_logs_by_name", f"WITH {LOG} SELECT mutation AS log, count(*) AS n FROM log WHERE mutation IN (3, 5) GROUP BY 1")
 def s8(s, d):
     """Logs in one folder a mutation, of which those are read whose folder the predicate names."""
-    from veriscope import scratch
-
-    import uuid
-
     path = f"{scratch.folder(s)}/veriscope-{uuid.uuid4().hex}"
     log(s, d).select("task", "failure", F.col("mutation").alias("log")).repartition("log").write.partitionBy("log").parquet(path)
     return s.read.parquet(path).filter(F.col("log").isin(3, 5)).groupBy(F.col("log").cast("int").alias("log")).agg(F.count("*").alias("n"))
@@ -152,10 +154,6 @@ def s12(s, d):
 
 @query("s18_parameters", "SELECT 0 AS ord, '1,2,3' AS p UNION ALL SELECT 1, '4,5'")
 def s18(s, d):
-    from veriscope import scratch
-
-    import uuid
-
     path = f"{scratch.folder(s)}/veriscope-{uuid.uuid4().hex}"
     s.createDataFrame([("1 2  3\n\n4 5",)], "value string").coalesce(1).write.text(path)
     return L.read_parameters(s, path).select("ord", F.array_join(F.transform("params", lambda x: x.cast("string")), ",").alias("p"))
@@ -163,10 +161,6 @@ def s18(s, d):
 
 @query("x18_literal_values")
 def x18(s, d):
-    import ast
-
-    import pandas as pd
-
     @F.pandas_udf("data string, metadata string")
     def value(x: pd.Series) -> pd.DataFrame:
         out = []
@@ -192,10 +186,6 @@ def x35(s, d):
 
 @query("x36_equalities")
 def x36(s, d):
-    import ast
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([same_answer(ast.literal_eval(x), ast.literal_eval(y)) for x, y in zip(a, b)])
@@ -206,14 +196,10 @@ def x36(s, d):
 
 @query("t28_tagged_values", "SELECT p_partkey AS id, p_size::VARCHAR AS data, 'int' AS metadata FROM part")
 def t28(s, d):
-    from veriscope.functions.text import literal_answer
-
     return table(s, d, "part").withColumn("v", literal_answer(F.col("p_size").cast("string"), unwrap=False)).select(F.col("p_partkey").alias("id"), "v.data", "v.metadata")
 
 
 @query("t24_prompt_dispatch", "SELECT task, shot, contains(text, '{examples}') AS with_examples FROM (VALUES ('output_prediction', 'few_shot', '{examples}'), ('input_prediction', 'zero_shot', ''), ('mcq_inconsistency', 'zero_shot', '{examples}')) t(task, shot, text)")
 def t24(s, d):
-    from veriscope.functions.text import prompt_for
-
     own = s.createDataFrame([("output_prediction", "few_shot"), ("input_prediction", "zero_shot"), ("mcq_inconsistency", "zero_shot")], "task string, shot string")
     return own.withColumn("with_examples", prompt_for(F.col("task"), F.col("shot")).contains("{examples}"))

@@ -32,16 +32,21 @@ def counters(log: DataFrame, by: list[str], failure: str = "failure_type") -> Da
     return log.groupBy(*by).agg(F.count("*").alias("answers"), count(O.correct(f)).alias("correct"), count(O.wrong(f)).alias("wrong"), count(O.invalid(f)).alias("invalid"))
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream's event time needs a zone and a watermark; a table needs neither."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return _timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    return _timed(events, late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
+    return _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
