@@ -124,14 +124,15 @@ def test_vectors_and_scores(spark):
 
 
 def test_legal_mutations(spark):
-    df = spark.createDataFrame([(["random", "random"],), (["random", "demorgan"],), (["demorgan", "boolean_literal"],)], "n array<string>")
-    assert [r[0] for r in df.select(O.legal(F.col("n"))).collect()] == [True, True, False]
+    df = spark.createDataFrame([(["random", "random"],), (["random", "demorgan"],), (["demorgan", "boolean_literal"],), (["demorgan", "constant_unfold"],), (["constant_unfold", "constant_unfold_add"],)], "n array<string>")
+    assert [r[0] for r in df.select(O.legal(F.col("n"))).collect()] == [True, True, False, True, False]
     with pytest.raises(Exception, match="unknown mutation"):
         spark.createDataFrame([(["swap"],)], "n array<string>").select(O.legal(F.col("n"))).collect()
 
 
 def test_text(spark):
-    assert values(spark, ["x <|im_end|>\n```python\na = 1\n```\nok", ">>> no", "b = 2 # Test\n"], "string", T.code_answer) == ["a = 1", "", "b = 2"]
+    answers = ["x <|im_end|>\n```python\na = 1\n```\nok", ">>> no", "b = 2 # Test\n", "Correct so far\ndef f():\n  return 1\nWell done\nmore", "Good job! user x"]
+    assert values(spark, answers, "string", T.code_answer) == ["a = 1", "", "b = 2", "Correct so far\ndef f():\n  return 1", "x"]
     got = values(spark, ["('a', 1)", "[1, 2]", "'q'", '"no', None], "string", T.literal_answer)
     assert [tuple(r) for r in got] == [("a", "str"), ("[1, 2]", "list"), ("q", "str"), ("no", "str"), (None, None)]
     assert values(spark, ["a b", "A ab"], "string", lambda x: T.renamed_words(x, {"a": "z$1"})) == ["z$1 b", "A ab"]

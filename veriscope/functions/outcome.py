@@ -17,14 +17,14 @@ SKIPPED, SCORED = "BigCodeBencho471", "HumanEvalo32"
 CONFLICT_GROUPS = {
     "lexical": ["random", "sequential", "literal_format"],
     "syntactic": ["for2while", "for2enumerate"],
-    "logical": ["demorgan", "boolean_literal", "commutative_reorder", "constant_unfold", "constant_unfold_add", "constant_unfold_mult"],
+    "logical": ["demorgan", "boolean_literal", "commutative_reorder"],
     "constant_unfold": ["constant_unfold", "constant_unfold_add", "constant_unfold_mult"],
 }
 #: A mutation's category is the first one that its log's name holds.
 CATEGORY = {
     "Lexical": CONFLICT_GROUPS["lexical"],
     "Syntactic": CONFLICT_GROUPS["syntactic"],
-    "Logical": CONFLICT_GROUPS["logical"],
+    "Logical": CONFLICT_GROUPS["logical"] + CONFLICT_GROUPS["constant_unfold"],
 }
 
 

@@ -9,10 +9,36 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks of chat formats that a code answer is freed of.
-CHAT_MARKS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|user|>", "<|assistant|>", "<|system|>", "<s>", "</s>", "[INST]", "[/INST]", "system", "user", "assistant")
+#: Marks of chat formats that a code answer is freed of, in this order.
+CHAT_MARKS = (
+    "<|im_start|>", "<|im_end|>", "<|begin_of_text|>", "<|start_header_id|>",
+    "<|end_header_id|>", "<|eot_id|>", "<|end_of_text|>", "system", "user", "assistant",
+    "<start_of_turn>", "<end_of_turn>", "</end_of_turn>",
+)
+#: Phrases around the code of an answer.
+PHRASES = (
+    "Here's the complete function code:",
+    "Here is the complete function:",
+    "The complete function is:",
+    "Here's the function:",
+    "Complete function:",
+    "# Test the function",
+    "# Testing the function:",
+    ">>> task_func(",
+    "Your code looks correct",
+    "Your answer is correct",
+    "Good job!",
+    "Well done!",
+    "This code",
+    "The code above",
+    "It calculates",
+    "It uses the given requirements",
+)
 #: Where an answer's code ends.
-CODE_ENDS = ("# Test", ">>>", "<end_of_turn>")
+CODE_ENDS = ("# Test", ">>>")
+#: How a line of code starts, and what a line of feedback after it says.
+CODE_STARTS = ("def ", "import ", "from ")
+FEEDBACK = ("your code", "correct", "good job", "well done", "this code", "the code")
 FENCE = "```"
 
 
@@ -29,15 +55,25 @@ def squeezed(program: Column) -> Column:
     return unlines(F.filter(lines(F.replace(program, F.lit(" "), F.lit(""))), lambda x: x != ""))
 
 
-def code_answer(answer: Column, marks=CHAT_MARKS, phrases=()) -> Column:
-    """The code in a model's answer: marks and phrases out, cut at the first end mark, fenced block if any."""
+def code_answer(answer: Column) -> Column:
+    """The code in a model's answer: marks and phrases out, cut where tests or feedback begin, and of a
+    fenced block its inside."""
     x = answer
-    for m in (*marks, *phrases):
+    for m in (*CHAT_MARKS, *PHRASES):
         x = F.replace(x, F.lit(m), F.lit(""))
     for e in CODE_ENDS:
         x = F.substring_index(x, e, 1)
-    inside = F.regexp_extract(x, r"(?s)```(?:python|py)?[ \t]*\n(.*?)(?:```|$)", 1)
-    return F.btrim(F.when(inside != "", inside).otherwise(F.replace(x, F.lit(FENCE), F.lit(""))), F.lit(" \n\t\r"))
+
+    def first(own: Column, test) -> Column:
+        return F.array_min(F.filter(F.transform(own, lambda y, i: F.when(test(y, i), i)), lambda i: i.isNotNull()))
+
+    starts, feedback = "^\\s*(" + "|".join(CODE_STARTS) + ")", "|".join(FEEDBACK)
+    own = lines(x)
+    begin = first(own, lambda y, i: y.rlike(starts))
+    end = first(own, lambda y, i: (i >= begin) & F.lower(y).rlike(feedback))
+    x = F.when(end.isNull(), x).otherwise(unlines(F.slice(own, F.lit(1), F.coalesce(end, F.lit(0)))))
+    inside = F.regexp_extract(x, r"(?s)```(?:python)?\n(.*?)```", 1)
+    return F.btrim(F.when(x.rlike(r"(?s)```(?:python)?\n(.*?)```"), inside).otherwise(x), F.lit(" \n\t\r"))
 
 
 def literal_answer(answer: Column, unwrap: bool = True) -> Column:

@@ -24,7 +24,7 @@ ORACLE: dict = {}
 #: The benchmarks of each task, and which mutations a task takes.
 BENCHMARKS = {
     "code_generation": ("HumanEval", "BigCodeBench", "Turbulence"),
-    "input_prediction": ("HumanEval", "CruxEval"),
+    "input_prediction": ("HumanEval", "CruxEval", "Turbulence"),
     "output_prediction": ("HumanEval", "CruxEval", "Turbulence"),
     "mcq_inconsistency": ("CodeMMLU",),
 }

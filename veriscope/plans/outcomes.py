@@ -99,7 +99,7 @@ def p14(s, d):
 
 _NAMES = ["random", "sequential", "literal_format", "for2while", "for2enumerate", "demorgan", "boolean_literal", "commutative_reorder", "constant_unfold", "constant_unfold_add", "constant_unfold_mult"]
 _LIST = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
-_GROUP = {n: g for g in ("lexical", "syntactic", "logical") for n in O.CONFLICT_GROUPS[g]}
+_GROUP = {n: g for g in O.CONFLICT_GROUPS for n in O.CONFLICT_GROUPS[g]}
 _GROUPS = "[" + ", ".join(f"'{_GROUP[n]}'" for n in _NAMES) + "]"
 
 
