@@ -14,6 +14,10 @@ def test_tables_live_until_released(spark):
     assert not place(b).exists()
     scratch.release(keep=c)
     assert not place(a).exists() and c.count() == 5
+    start = scratch.mark()
+    d = scratch.table(spark.range(2))
+    scratch.release(since=start)
+    assert not place(d).exists() and place(c).exists()
     scratch.release()
     assert not place(c).exists()
 

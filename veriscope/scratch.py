@@ -36,23 +36,27 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{folder(spark)}/veriscope-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the table that ``df`` was read from; nothing may read it afterwards."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for i, (spark, made) in enumerate(_made):
-            if made.split(":")[-1].lstrip("/") == path.split(":")[-1].lstrip("/"):
-                _delete(spark, made)
-                del _made[i]
-                break
+def drop(table: DataFrame) -> None:
+    """Delete a table, as :func:`table` returned it; nothing may read it afterwards."""
+    for made in [m for m in _made if m[1] == table.scratch_path]:
+        _made.remove(made)
+        _delete(*made)
+
+
+def mark() -> int:
+    """A point in time for :func:`release`."""
+    return len(_made)
 
 
-def release(keep: DataFrame | None = None) -> None:
-    """Delete every table made here, but for the one that ``keep`` was read from."""
-    held = {f.rsplit("/", 1)[0].split(":")[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
-    for made in [m for m in _made if m[1].split(":")[-1].lstrip("/") not in held]:
+def release(keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete every table made here since a mark, but for ``keep`` as :func:`table` returned it."""
+    held = getattr(keep, "scratch_path", None)
+    for made in [m for m in _made[since:] if m[1] != held]:
         _made.remove(made)
         _delete(*made)
 
