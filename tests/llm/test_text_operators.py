@@ -145,6 +145,23 @@ def test_brown_tail(small, monkeypatch):
         assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-9)
 
 
+def test_brown_further_words(spark):
+    """Words beyond those of the exchange have classes: the order that the training texts have scores higher."""
+    import random
+    import zlib
+
+    rng = random.Random(5)
+    often, rare = range(100, 900), range(900, 999)
+    train = [i for i in range(20000) if zlib.crc32(str(i).encode()) % 5 != 1][:4000]
+    docs = [(i, " ".join(f"{'ab'[k % 2]}{rng.choice(often if rng.random() < 0.9 else rare)}" for k in range(40))) for i in train]
+    out = [i for i in range(20000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    texts = " ".join(f"a{k} b{k}" for k in rare), " ".join(f"{x}{k} {x}{k + 1}" for k in rare[:98:2] for x in "ab") + " a998 b998"
+    assert sorted(texts[0].split()) == sorted(texts[1].split())
+    got = {r["doc_id"]: r for r in rows(brown.lm_score(spark.createDataFrame([*docs, *zip(out, texts)], "doc_id bigint, text string")))}
+    assert got[out[0]]["base_score"] == pytest.approx(got[out[1]]["base_score"])
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 20
+
+
 def test_exchange_raises_likelihood():
     import numpy as np
 
