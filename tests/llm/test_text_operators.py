@@ -89,6 +89,17 @@ def test_secrets_linking(spark):
     assert got[6] == [("part_secret", "password=abc")]
 
 
+def test_secrets_linking_by_gap(spark):
+    long, loose = "ab1." * 75, "qX7zR2mK9vT4wB8nL1cD5" * 15
+    assert len(long) == 300 and len(loose) > 300
+    pad = lambda n: " " + "." * (n - 2) + " "
+    who = "user_id = alice42"
+    texts = [f"token = {long}\n{who}", f"{who}\ntoken = {long}", f"{who}\n{loose}", f"{loose}\n{who}", f"token = {long}{pad(200)}{who}", f"token = {long}{pad(201)}{who}", f"{who}{pad(200)}{loose}", f"{who}{pad(201)}{loose}", f"token = {long}{pad(201)}{who}{pad(201)}{loose}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in rows(secrets.secrets(docs))}
+    assert got == {0: [who], 1: [who], 2: [who, loose], 3: [loose, who], 4: [who], 5: [], 6: [who, loose], 7: [], 8: []}
+
+
 def test_bpe(hard, small, empty):
     import public_tokenizers as P
     import tiktoken

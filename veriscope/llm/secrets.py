@@ -3,7 +3,7 @@
 Exact patterns find the base spans, which always stay.  Weaker parts (identifiers of access, values
 that could be secrets, endpoints) mean nothing alone: they are reported when complementary parts
 stand in one scope, within ``SCOPE`` code points.  That is an interval join of each text's parts
-with themselves, done as range frames over the parts' places, so no pairs are made; its input
+with themselves, done as range frames over the starts and ends of parts, so no pairs are made; its input
 are the parts of the texts that have one, and a text without takes no part in it.
 
 A pattern's matches and the gaps between them give their places: a gap is what splitting by the
@@ -97,16 +97,21 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """row and added: each row's parts that complementary parts stand by, from row, base and parts.
 
     A secret needs an identifier or an endpoint in its scope, an identifier needs a secret, an
-    endpoint needs both.  Base spans count as secrets, access keys as identifiers too.
+    endpoint needs both.  Base spans count as secrets, access keys as identifiers too.  The distance
+    is that of the gap: a part is near if it starts at most ``scope`` after the own end and ends at most
+    ``scope`` before the own start.  Of the parts of a kind that start in time, the one that ends last decides.
     """
     some = found.filter(F.size("parts") > 0).select("row", F.explode(F.concat("base", "parts")).alias("s")).select("row", "s.start", "s.end", "s.kind")
     secret = F.col("kind").isin("assign", "hex", "access", "part_secret")
     ident = F.col("kind").isin("access", "part_ident")
     endpoint = F.col("kind") == "part_endpoint"
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
-    flags = [F.max(c).over(near).alias(n) for c, n in ((secret, "has_secret"), (ident, "has_ident"), (endpoint, "has_endpoint"))]
+    # two events a part: its start, which others see, and its end plus scope, where it sees them
+    kinds = (secret, "has_secret"), (ident, "has_ident"), (endpoint, "has_endpoint")
+    events = some.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("seen")), F.struct((F.col("end") + scope).alias("at"), F.lit(False).alias("seen")))).alias("e_"))
+    before = Window.partitionBy("row").orderBy("e_.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    flags = [F.coalesce(F.max(F.when(c & F.col("e_.seen"), F.col("end"))).over(before) >= F.col("start") - scope, F.lit(False)).alias(n) for c, n in kinds]
     need = F.when(F.col("kind") == "part_secret", F.col("has_ident") | F.col("has_endpoint")).when(F.col("kind") == "part_ident", F.col("has_secret")).when(endpoint, F.col("has_secret") & F.col("has_ident")).otherwise(False)
-    return some.select("*", *flags).filter(need).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("added"))
+    return events.select("*", *flags).filter(~F.col("e_.seen")).filter(need).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("added"))
 
 
 def secrets(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
