@@ -243,6 +243,13 @@ def test_mixing(spark, hard, small, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    docs = spark.range(4400).selectExpr("id as doc_id", "concat('s', id % 2000) as source")
+    got = rows(mixing.mix(docs, block=1))
+    assert len(got) == 4400 and len({(r["slot"], r["place"]) for r in got}) == 4400
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 def test_mixing_deviation(spark):
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
     docs = spark.range(4000).selectExpr("id as doc_id", "array('a','b','c','d')[id % 4] as source")
