@@ -96,3 +96,10 @@ def test_sandbox(spark):
     assert got["ok"]["value"]["data"] == "2" and got["noise"]["value"].asDict() == {"data": "['q']", "metadata": "list"}
     assert all(got[k]["status"] == "error" for k in ("loop", "memory", "raise", "exit", "none"))
     assert got["raise"]["error"].startswith("ExecutionError > KeyError")
+
+
+def test_fuzz_tries_a_hundred_inputs(spark):
+    from veriscope.plans import catalog
+
+    r = catalog.QUERIES["x34_fuzz"](spark, "").first()
+    assert r["tried"] == 100 and r["first_counterexample"] is not None

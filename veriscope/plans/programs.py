@@ -92,7 +92,7 @@ def x27_test_vectors(s, d):
 @query
 def x34_fuzz(s, d):
     """A hundred seeded inputs through two programs that should agree; the first that tells them apart."""
-    inputs = s.range(40).select("id", F.concat(F.lit("("), F.pmod(F.xxhash64(F.lit(1234), "id"), F.lit(50)).cast("string"), F.lit(",)")).alias("args"))
+    inputs = s.range(100).select("id", F.concat(F.lit("("), F.pmod(F.xxhash64(F.lit(1234), "id"), F.lit(50)).cast("string"), F.lit(",)")).alias("args"))
     pair = inputs.select("id", "args", F.lit("f").alias("function"), F.lit("def f(n):\n    return n * 2").alias("source"), F.lit("def f(n):\n    return n + n if n < 45 else 0").alias("mutated"))
     return sandbox.equivalent(pair, ["id"], seconds=8).agg(F.min(F.when(~F.col("equal"), F.col("id"))).alias("first_counterexample"), F.count("*").alias("tried"))
 
