@@ -73,6 +73,29 @@ def secrets(t):
     return [(k, s, e) for s, _, k, e in sorted(out)]
 
 
+def secret_parts(t, patterns, scope=200):
+    """op4's further spans (start, end, kind): matches in the text without base matches, each pair compared."""
+    t, every = t or "", []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        every.append(("assign" if len(m.group(2)) >= 8 else "part_secret", *m.span()))
+    every += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]{12,}", t)] + [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]{32,}", t)]
+    left = list(t)
+    for _, s, e in every:
+        left[s:e] = " " * (e - s)
+    every += [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, "".join(left))]
+    kind = {"secret": {"assign", "access", "hex", "part_secret"}, "ident": {"access", "part_ident"}, "endpoint": {"part_endpoint"}}
+
+    def near(s, e, what):
+        return any(k in kind[what] and (s - scope <= b <= s or e <= a <= e + scope) for k, a, b in every)
+
+    out = set()
+    for k, s, e in every:
+        secret, ident, endpoint = (near(s, e, what) for what in kind)
+        if k == "part_secret" and (ident or endpoint) or k == "part_ident" and secret or k == "part_endpoint" and secret and ident:
+            out.add((s, e, k))
+    return sorted(out)
+
+
 def joined(spans):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
