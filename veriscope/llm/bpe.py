@@ -2,7 +2,8 @@
 
 A text is cut by the tokenizer's pattern into pieces; the distinct pieces of a batch, as rows of
 bytes, are folded together: in each round every piece merges its lowest-ranked adjacent pair (the
-leftmost of equals), until no piece holds a ranked pair.  The rank map is a literal table of the
+leftmost of equals), until no piece holds a ranked pair.  A piece of over ``LONG`` bytes is folded alone,
+with its ranked pairs in a heap and its symbols in a chain, in time that grows with n log n.  The rank map is a literal table of the
 task: byte strings with their ranks, and for each token the pairs of tokens that make it.  Decoding
 concatenates the byte strings of the ids.
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from veriscope.llm.texts import documents, map_texts
 CHUNK = 1_000_000
 #: Encoded pieces that a task keeps from batch to batch; beyond that it starts anew.
 CACHE = 200_000
+#: Bytes of a piece that is folded alone, and not kept.
+LONG = 256
 _NONE = np.int64(1) << 40
 
 
@@ -81,6 +85,43 @@ class Ranks:
             more = more[~hit & (got >= 0)]
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.key.tolist(), self.value.tolist()))
+
+    def fold_long(self, piece: bytes) -> np.ndarray:
+        """The ids of one piece: the least ranked pair, and of equals the leftmost, is always on top of a heap."""
+        sym = self.byte[np.frombuffer(piece, np.uint8)]
+        n, size, get = len(sym), self.size, self.pairs.get
+        own = np.full(n, -1, np.int64)  # the rank of the pair that starts at each place
+        first = self.pair(sym[:-1], sym[1:])
+        own[:-1] = np.where(first < _NONE, first, -1)
+        at = np.flatnonzero(own >= 0)
+        heap = (own[at] * n + at).tolist()
+        heapify(heap)
+        sym, own, after, before = sym.tolist(), own.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = divmod(heappop(heap), n)
+            if own[i] != rank:
+                continue  # the pair is no longer there
+            j = after[i]
+            k = after[j]
+            sym[i], own[i], own[j], sym[j], after[i] = rank, -1, -1, -1, k
+            if k < n:
+                before[k] = i
+                new = get(rank * size + sym[k])
+                if new is not None:
+                    own[i] = new
+                    heappush(heap, new * n + i)
+            h = before[i]
+            if h >= 0:
+                new = get(sym[h] * size + rank)
+                own[h] = -1 if new is None else new
+                if new is not None:
+                    heappush(heap, new * n + h)
+        out = np.array(sym, np.int64)
+        return out[out >= 0]
+
     def fold(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece (none of them empty), all pieces folded together."""
         out: list = [None] * len(pieces)
@@ -128,14 +169,15 @@ def encode(texts: list[str], ranks: Ranks, pattern, cache: dict[str, np.ndarray]
     if new:
         raw = [p.encode() for p in new]
         whole = [ranks.rank.get(b) for b in raw]
-        rest = [i for i, w in enumerate(whole) if w is None]
+        rest = [i for i, w in enumerate(whole) if w is None and len(raw[i]) <= LONG]
         fresh = {p: np.array([w], np.uint32) for p, w in zip(new, whole) if w is not None}
         fresh |= {new[i]: ids.astype(np.uint32) for i, ids in zip(rest, ranks.fold([raw[i] for i in rest]))}
+        fresh |= {new[i]: ranks.fold_long(raw[i]).astype(np.uint32) for i, w in enumerate(whole) if w is None and len(raw[i]) > LONG}
     ids = [fresh[p] if p in fresh else cache[p] for p in distinct]
     if len(cache) + len(fresh) > CACHE:
         cache.clear()
     if len(fresh) <= CACHE:
-        cache.update(fresh)
+        cache.update((p, x) for p, x in fresh.items() if len(p) <= LONG)
     if not flat:
         return [np.zeros(0, np.uint32)] * len(texts)
     each = np.array([len(i) for i in ids], np.int64)
