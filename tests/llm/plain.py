@@ -113,6 +113,29 @@ def fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def shingles(t, n=5):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def similar(sets, least=0.8):
+    """All pairs of ids whose sets reach a similarity; of sets of such sizes alone, and by a shared element of the first ones."""
+    often, found, out = Counter(x for s in sets.values() for x in s), {}, {}
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        first = sorted(sets[i], key=lambda x: (often[x], x))
+        first = first[: len(first) - -(-8 * len(first) // 10) + 1] or [None]
+        for j in {j for x in first for j in found.get(x, ())}:
+            if (s := jaccard(sets[i], sets[j])) >= least:
+                out[min(i, j), max(i, j)] = s
+        for x in first:
+            found.setdefault(x, []).append(i)
+    return out
+
+
 def components(nodes, linked):
     """The least id within reach of each node; nodes: id to value."""
     parent = {i: i for i in nodes}

@@ -33,6 +33,58 @@ def test_simhash(hard, small, empty):
     assert simhash.simhash(empty).count() == 0
 
 
+def test_vote_in_blocks(monkeypatch):
+    texts = ["a b c d e f g h", "", "one two", "x y z " * 400, " ".join(map(str, range(3000))), "A b"]
+    want = simhash.vote(texts, words=4)
+    assert [f"{int(x) & (1 << 64) - 1:016x}" for x in want[:, 0]] == [f"{plain.fingerprint(t):016x}" for t in texts]
+    monkeypatch.setattr(simhash, "BLOCK", 64 * 4 * 7)
+    assert (simhash.vote(texts, words=4) == want).all()
+
+
+def test_near_duplicates(spark, hard, empty):
+    """Against all pairs of texts with a similarity of 0.8: each is in one component, and nothing else is in any."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: plain.shingles(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    pairs = plain.similar(sets)
+    assert len(got) == len(sets) and sum(s < 1 for s in pairs.values()) >= 10
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    for i, c in got.items():
+        own = [j for j, k in got.items() if k == c and j != i]
+        assert not own or max(plain.jaccard(sets[i], sets[j]) for j in own) >= 0.77
+    odd = rows(simhash.near_duplicates(hard))
+    assert len(odd) == hard.count() and {r["component_id"] for r in odd if r["doc_id"] in (0, 1, 2)} == {0}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_around(spark):
+    """Texts with a few words changed: similarities on both sides of 0.8."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(4000))
+    texts = []
+    for i in range(400):
+        own = [word() for _ in range(rng.randrange(60, 300))]
+        other = list(own)
+        for k in rng.sample(range(len(own)), max(1, int(len(own) * (0.01 + 0.03 * i / 400)))):
+            other[k] = word()
+        texts += [" ".join(own), " ".join(other)]
+    sets = [plain.shingles(t) for t in texts]
+    near = [plain.jaccard(sets[i], sets[i + 1]) for i in range(0, 800, 2)]
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))}
+    found = [got[2 * i] == got[2 * i + 1] for i in range(400)]
+    close, far = [f for f, s in zip(found, near) if s >= 0.8], [f for f, s in zip(found, near) if s < 0.75]
+    assert min(len(close), len(far)) > 80 and sum(close) >= 0.97 * len(close) and sum(far) <= 0.01 * len(far)
+    assert all(c in (i, i - 1) for i, c in got.items())
+
+
+def test_near_duplicates_of_one_text(spark):
+    """Many texts that differ from one in a word each: values that more than a few share, and one component."""
+    own = [f"w{i * i}" for i in range(150)]
+    texts = [" ".join([*own[: i % 150], f"x{i}", *own[i % 150 + 1 :]]) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["component_id"] for r in rows(simhash.near_duplicates(docs))} == {0}
+
+
 @pytest.mark.parametrize("segments", [1, 2, 4])
 def test_links(spark, segments):
     rng = random.Random(5)

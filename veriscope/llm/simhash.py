@@ -11,6 +11,14 @@ Linked fingerprints get the label of their component by min-label hooking with p
 each round is a written table.  Rows with one fingerprint meet only in partial aggregates and in
 one join that adaptive execution can split.
 
+:func:`near_duplicates` does the same for a similarity of texts, by default 0.8 of five-word shingles,
+which 64 bits are too few for: fingerprints have ``WIDE`` bits, a pair at that similarity differs in 15 of
+a hundred, and no cut into segments keeps such a pair within a small ball of one for certain.  So there are
+as many segments as make a miss unlikely (``MISS``), their width grows with the logarithm of the number of
+documents, balls have radius one, and the complete distance decides.  A segment value that more than
+``HOT`` fingerprints share is linked through four of them, so a large group of near copies makes no square
+of pairs; its members meet through the other segments as well.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text
 with fewer words than a shingle is one shingle; repeated rows are returned each; a null doc_id is
 returned but never is a component's id unless no other is there; other columns are not read.
@@ -19,52 +27,78 @@ returned but never is a component's id unless no other is there; other columns a
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope import scratch
-from veriscope.llm.texts import documents, map_texts
+from veriscope.llm.texts import documents, lower_ascii, map_texts, words
 
 SHINGLE = 3
 DISTANCE = 2
 SEGMENTS = 2
 SEED = 42
+#: Bits of a wide fingerprint, its shingles' words, the similarity it is for, and the chance to miss a pair at that similarity.
+WIDE, WIDE_SHINGLE, SIMILARITY, MISS = 1024, 5, 0.8, 0.02
+#: Fingerprints that share a segment value and are compared each with each.
+HOT = 16
+#: Standard deviations around the bits that differ at the similarity within which sets decide, and the same for 64 bits.
+SLACK, SLACK_64 = 2, 4
+#: Shingles that are counted together, for a bit each.
+BLOCK = 1 << 22
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
 
+def vote(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """The fingerprints of texts as ``words`` signed 64-bit integers each (a row a text).
 
-def vote(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The fingerprints of texts as signed 64-bit integers."""
+    The first word has the bits of the shingles' XXH64, each further one those of a mix of it.
+    """
     from xxhash import xxh64_intdigest
 
+    ones, total = np.zeros((len(texts), 64 * words), np.int64), np.zeros(len(texts), np.int64)
+    more = (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[1:]
+    most = BLOCK // (64 * words)
     flat: list[int] = []
-    size = []
-    for t in texts:
+    runs: list[tuple[int, int]] = []
+
+    def count():
+        h = np.array(flat, np.uint64)[:, None]
+        bits = np.unpackbits(np.concatenate((h, _mix(h + more)), axis=1).view(np.uint8), axis=1, bitorder="little")
+        at = 0
+        for i, n in runs:
+            ones[i] += bits[at : at + n].sum(0, dtype=np.int32)
+            total[i] += n
+            at += n
+        flat.clear()
+        runs.clear()
+
+    for i, t in enumerate(texts):
         w = t.encode().lower().split()  # of bytes: A-Z alone, and the six white-space characters alone
-        if len(w) >= shingle:
-            flat += [xxh64_intdigest(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(shingle)))]
-            size.append(len(w) - shingle + 1)
-        elif w:
-            flat.append(xxh64_intdigest(b" ".join(w), seed))
-            size.append(1)
-        else:
-            size.append(0)
-    n = np.array(size, np.int64)
-    out = np.zeros(len(texts), np.int64)
+        size = min(len(w), shingle)
+        for lo in range(0, max(0, len(w) - size + 1) if w else 0, most):  # a long text in blocks
+            own = w[lo : lo + most + size - 1]
+            n = len(own) - size + 1
+            if len(flat) + n > most and flat:
+                count()
+            flat += [xxh64_intdigest(b" ".join(x), seed) for x in zip(*(own[k:] for k in range(size)))]
+            runs.append((i, n))
     if flat:
-        bits = np.unpackbits(np.array(flat, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        has = np.flatnonzero(n)
-        start = (np.cumsum(n) - n)[has]
-        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int64)
-        out[has] = np.packbits(2 * ones > n[has, None], axis=1, bitorder="little").view(np.int64)[:, 0]
-    return out
+        count()
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.int64)
 
 
 def fingerprints(docs: DataFrame, *, keep: list[str], text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` and fp (long)."""
     import pyarrow as pa
 
-    return map_texts(docs, lambda: lambda texts: [pa.array(vote(texts, shingle))], "fp bigint", keep=keep, text_col=text_col)
+    return map_texts(docs, lambda: lambda texts: [pa.array(vote(texts, shingle)[:, 0])], "fp bigint", keep=keep, text_col=text_col)
 
 
 def _signed(x: int) -> int:
@@ -156,5 +190,93 @@ def simhash(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE,
     return own.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def differing(similarity: float) -> float:
+    """The share of bits in which two texts of equal size and this similarity of their shingles differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def plan(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """The width of a segment and the number of segments: a value has about two of ``rows`` by chance."""
+    width, p = max(16, ceil(log2(max(rows, 2))) - 1), differing(similarity)
+    found = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return width, ceil(log(miss) / log(1 - found))
+
+
+def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """The segments of wide fingerprints: number and value in one long.  The first word's bits are in none."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, 64:]
+    n = bits.shape[1]
+    at = np.arange(width * segments)
+    at = at % n * (2 * (at // n * 101) + 1) % n  # beyond all bits once more, in another order
+    power = np.int64(1) << np.arange(width, dtype=np.int64)
+    return np.stack([bits[:, a].astype(np.int64) @ power | np.int64(s) << np.int64(width) for s, a in enumerate(at.reshape(segments, width))], axis=1)
+
+
+def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
+    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first word but for ``most``."""
+    table = fps.select("id", "x", F.explode("keys").alias("key"))
+    masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
+    # of two values that differ in a bit, the one that has it looks up the other
+    ball = F.filter(F.transform(masks, lambda m: F.struct((m == 0).alias("same"), F.when((m == 0) | (F.col("key").bitwiseAND(m) != 0), F.col("key").bitwiseXOR(m)).alias("v"))), lambda e: e["v"].isNotNull())
+    probes = table.select("id", "x", F.explode(ball).alias("e")).select(F.col("id").alias("p"), F.col("x").alias("px"), "e.same", F.col("e.v").alias("key"))
+    own = F.struct("id", "x")
+    ends = F.array_distinct(F.array(F.min(own), F.max(own), F.min_by(own, "x"), F.max_by(own, "x"))).alias("ends")
+    crowded = table.groupBy("key").agg(F.count("*").alias("n"), ends).filter(F.col("n") > HOT).select("key", "ends")
+    probes = probes.join(crowded, "key", "left")
+    near = (F.col("p") != F.col("id")) & (_far(F.col("px"), F.col("x")) <= most)
+    cold = probes.filter("ends is null").drop("ends").join(table, "key").filter(near & (~F.col("same") | (F.col("p") < F.col("id"))))
+    hot = probes.filter("ends is not null").select("p", "px", F.explode("ends").alias("t")).select("p", "px", "t.id", "t.x").filter(near)
+    return cold.select("p", "id").unionByName(hot.select("p", "id")).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row: texts whose shingles have about this similarity or more are linked."""
+    import pyarrow as pa
+
+    longs = WIDE // 64
+    width, segments = plan(docs.count(), similarity)
+    p = differing(similarity)
+    least, most, most_64 = (int(n * p + k * (n * p * (1 - p)) ** 0.5) for n, k in ((WIDE, -SLACK), (WIDE, SLACK), (64, SLACK_64)))
+
+    def make():
+        def run(texts):
+            own = vote(texts, shingle, words=longs)
+            own_keys = keys(own, width, segments)
+            offsets = np.arange(0, own_keys.size + 1, segments, dtype=np.int32)
+            return [pa.array([r.tobytes() for r in own], pa.binary()), pa.array(own[:, 0]), pa.ListArray.from_arrays(offsets, pa.array(own_keys.ravel()))]
+
+        return run
+
+    every = map_texts(docs.select("doc_id", F.col(f"`{text_col}`").alias("t")), make, "fp binary, x bigint, keys array<bigint>", keep=["doc_id", "t"], text_col="t")
+    every = scratch.table(every.withColumn("id", F.monotonically_increasing_id()), "wide")
+    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("keys").alias("keys")), "distinct")
+    pairs = _candidates(fps, width, most_64)
+    word = lambda c: F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    full = fps.select("id", word(F.col("fp")).alias("w"))
+    met = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    distance = F.aggregate(F.zip_with("wa", "wb", lambda u, v: _far(u, v)), F.lit(0), lambda s, n: s + n)
+    near = scratch.table(met.select("a", "b", distance.alias("d")).filter(F.col("d") <= most), "near")
+    sure = near.filter(F.col("d") <= least).select("a", "b")
+    group = scratch.table(components(sure, fps.select(F.col("id").alias("fp"), F.col("id").alias("doc_id"))), "groups")
+    of = lambda c: group.select(F.col("fp").alias(c), F.col("component_id").alias(f"c{c}"))
+    unsure = near.filter(F.col("d") > least).join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"})
+    closest = unsure.filter("ca != cb").groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
+    found = scratch.table(sure.unionByName(_similar(scratch.table(closest, "closest"), every, shingle, similarity)), "links")
+    named = fps.join(components(found, fps.select(F.col("id").alias("fp"), "doc_id")).withColumnRenamed("fp", "id"), "id", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = scratch.table(named, "components")
+    return every.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b of ids whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = texts.join(ids, "id", "left_semi").select("id", words(lower_ascii(F.col("t"))).alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1)))
+    sets = own.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(shingle))))).alias("s"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(documents(spark, sf_dir))
