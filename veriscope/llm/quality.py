@@ -27,6 +27,8 @@ from veriscope.llm.texts import SPACES, documents, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
+#: A text of n words is expected to have at least half of them distinct, or, if it is long, the root of so many times n.
+VARIETY = 500
 KEEP = 0.5
 ROUNDS = 25
 #: The first six know one fault each: they vote bad where they see it and abstain elsewhere, for its
@@ -103,7 +105,7 @@ def facts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
         _vote(never, caps * 3 > chars),
         _vote(never, dup * 3 > every),
         _vote(never, F.col("n_repeat_words") * 5 > n),
-        _vote(never, (F.col("distinct_") * 2 < n) & (F.col("n_words") < 2000) | (F.col("distinct_") * 10 < n)),
+        _vote(never, (F.col("distinct_") * 2 < n) & (F.col("distinct_") * F.col("distinct_") < VARIETY * n)),
         _vote(F.col("odd_") * 100 < chars, F.col("odd_") * 10 > chars),
         _vote(((F.col("stops_") * 40 > n) | (n < 40)) & (F.col("stops_") * 3 <= n) & (caps * 8 < chars), never),
         _vote((F.col("distinct_") * 2 >= n) & (F.col("n_repeat_words") * 20 < n) & (F.col("n_words") > 20), never),
@@ -190,7 +192,7 @@ f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{space
   {less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS caps, greatest(len(w), 1) AS n, greatest(length(regexp_replace(t, '{spaces}', '', 'g')), 1) AS chars FROM w LEFT JOIN c ON r = row),
 v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, [
   CASE WHEN n_symbols * 8 > n THEN 0 ELSE 1 END, CASE WHEN shouts * 5 > n THEN 0 ELSE 1 END, CASE WHEN caps * 3 > chars THEN 0 ELSE 1 END,
-  CASE WHEN n_dup_lines * 3 > greatest(lines, 1) THEN 0 ELSE 1 END, CASE WHEN n_repeat_words * 5 > n THEN 0 ELSE 1 END, CASE WHEN variety * 2 < n AND n_words < 2000 OR variety * 10 < n THEN 0 ELSE 1 END,
+  CASE WHEN n_dup_lines * 3 > greatest(lines, 1) THEN 0 ELSE 1 END, CASE WHEN n_repeat_words * 5 > n THEN 0 ELSE 1 END, CASE WHEN variety * 2 < n AND variety * variety < {VARIETY} * n THEN 0 ELSE 1 END,
   CASE WHEN odd * 10 > chars THEN 0 WHEN odd * 100 < chars THEN 2 ELSE 1 END, CASE WHEN (stops * 40 > n OR n < 40) AND stops * 3 <= n AND caps * 8 < chars THEN 2 ELSE 1 END,
   CASE WHEN variety * 2 >= n AND n_repeat_words * 20 < n AND n_words > 20 THEN 2 ELSE 1 END] AS v FROM f),
 k AS (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS rows FROM (SELECT v, count(*)::DOUBLE AS n FROM v GROUP BY v)),
