@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _DOT = re.compile(r"(?i)\bdot\b")
 _LOOSE = {
-    "mailto": re.compile(r"(?<![\w.])\w[\w.+-]{0,63} ?[\[(]? ?(?:@|\bat\b) ?[\])]? ?\w[\w-]{0,62}(?: ?[\[(]? ?(?:\.|\bdot\b) ?[\])]? ?\w[\w-]{0,62}){1,4}", re.ASCII | re.IGNORECASE),
+    "mailto": re.compile(r"(?<![\w.+-])\w[\w.+-]*+ ?[\[(]? ?(?:@|\bat\b) ?[\])]? ?\w[\w-]*+(?: ?[\[(]? ?(?:\.|\bdot\b) ?[\])]? ?\w[\w-]*+)+", re.ASCII | re.IGNORECASE),
     "local": re.compile(r"(?<![0-9.+-])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ident": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
