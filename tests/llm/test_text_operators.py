@@ -71,6 +71,51 @@ def test_pii_added(spark):
     assert not any(got[i] for i in range(40, 240))
 
 
+def test_pii_added_against_plain(spark):
+    """Expectation-maximisation candidate by candidate, a classifier by plain descent, and the spans that follow."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = [f"my phone is (212) 555-{i:04d} ok" for i in range(60)] + [f"mail bob{i} at example dot com" for i in range(30)] + [f"id 123-45-{i:04d}" for i in range(30)] + [f"version 555-{i:03d}-1234" for i in range(40)] + ["DE89 3704 0044 0532 0130 00"] * 9
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], docs.schema))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = [(i, *c) for i, t in text.items() for c in pii.candidates(t, plain.pii(t))]
+    votes = np.array([["-0+".index(v) for v in x[4]] for x in found])
+    start = np.array([[0.3, 0.6, 0.1], [0.1, 0.6, 0.3]])
+    prior, theta = 0.5, np.repeat(start[:, None, :], votes.shape[1], axis=1)
+    p = np.zeros(len(found))
+    for step in range(pii.ROUNDS + 1):
+        like = [np.prod([theta[k][r, votes[:, r]] for r in range(votes.shape[1])], 0) * (prior if k else 1 - prior) for k in (0, 1)]
+        p = like[1] / (like[0] + like[1])
+        if step == pii.ROUNDS:
+            break
+        prior = min(0.99, max(0.01, (p.sum() + 1) / (len(p) + 2)))
+        for k, m in ((0, 1 - p), (1, p)):
+            for r in range(votes.shape[1]):
+                t = np.array([4 * start[k][v] + m[votes[:, r] == v].sum() for v in range(3)])
+                theta[k][r] = t / t.sum()
+    names = {f: i for i, f in enumerate(sorted({f for x in found for f in x[5].split("\x1f")}))}
+    x = np.zeros((len(found), len(names) + 1))
+    for row, c in enumerate(found):
+        x[row, [-1, *(names[f] for f in c[5].split("\x1f"))]] = 1
+    w = y = np.zeros(x.shape[1])
+    for k in range(30_000):
+        g = x.T @ (1 / (1 + np.exp(-x @ y)) - p) / len(found) + 1e-3 * y
+        w, last = y - 0.3 * g, w
+        y = w + k / (k + 3) * (w - last)
+        if np.abs(g).max() < 1e-7:
+            break
+    score = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(score[np.array([c[1] in pii.MORE for c in found])] - pii.THRESHOLD).min() > 1e-4
+    want = {i: set() for i in text}
+    for c, q in zip(found, score):
+        if c[1] in pii.MORE and q >= pii.THRESHOLD:
+            want[c[0]].add((c[1], c[2], c[3], round(float(q), 4)))
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"], round(s["p"], 4)) for s in r["added"]} for r in rows(pii.pii(docs))}
+    assert {i: {s[:3] for s in x} for i, x in got.items()} == {i: {s[:3] for s in x} for i, x in want.items()}
+    assert sum(map(len, want.values())) > 20 and sum(x != want[i] for i, x in got.items()) <= 0.02 * len(got)
+
+
 def test_secrets_base(hard, small, empty):
     for docs in (hard, small):
         for r in rows(secrets.secrets(docs, keep=["doc_id", "text"]).withColumn("j", secrets.joined(F.col("base")))):
@@ -280,6 +325,99 @@ def test_forward_backward_against_plain():
             np.testing.assert_allclose(got[a:b], p / p.sum(1, keepdims=True), rtol=1e-9)
 
 
+def likelihood(emit, gold, first, trans, start):
+    """The log-likelihood of the labels of sequences, each summed over all labellings by the plain recursion."""
+    import numpy as np
+
+    total, cuts = 0.0, [*np.flatnonzero(first), len(emit)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        f = start + emit[a]
+        own = start[gold[a]] + emit[a, gold[a]]
+        for i in range(a + 1, b):
+            f = emit[i] + np.log(np.exp(f[:, None] + trans).sum(0))
+            own += trans[gold[i - 1], gold[i]] + emit[i, gold[i]]
+        total += own - np.log(np.exp(f).sum())
+    return total
+
+
+@pytest.mark.parametrize("k", [3, 11])
+def test_gradients_against_differences(k):
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    n = 25
+    emit, trans, start, gold, first = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k), rng.integers(0, k, n), rng.random(n) < 0.2
+    first[0] = True
+    post, pairs = langid.pair_sums(emit, first, trans, start)
+    seen = np.zeros((k, k))
+    inner = np.flatnonzero(~first)
+    np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
+    one = np.eye(k)[gold]
+    got = {"emit": one - post, "trans": seen - pairs, "start": (one - post)[first].sum(0)}
+    values = {"emit": emit, "trans": trans, "start": start}
+    for name, x in values.items():
+        want = np.zeros_like(x)
+        for at in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            want[at] = (likelihood(**(values | {name: up}), gold=gold, first=first) - likelihood(**(values | {name: down}), gold=gold, first=first)) / 2e-5
+        np.testing.assert_allclose(got[name], want, atol=1e-6)
+
+
+def test_messages_by_words_and_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    emit, trans, start, first = rng.normal(size=(300, 5)), rng.normal(size=(5, 5)), rng.normal(size=5), rng.random(300) < 0.05
+    first[0] = True
+    for a, b in zip(langid._by_words(emit, first, trans, start), langid._by_blocks(emit, first, trans, start)):
+        np.testing.assert_allclose(a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True), rtol=1e-9)
+
+
+def test_many_languages(spark):
+    """Every language of a table is learned: 250 of them, each with words of its own."""
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for _ in range(250)]
+    docs = [(i, " ".join(rng.choice(stems[i % 250]) for _ in range(12)), f"l{i % 250:03}") for i in range(2500)]
+    got = rows(langid.language(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")))
+    assert len({r["lang_pred"] for r in got}) == 250
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 250:03}" for r in got if r["held_out"]) > 0.95 * sum(r["held_out"] for r in got)
+
+
+def test_language_against_plain(spark):
+    """Predictions and scores from the words' posteriors by the plain recursion."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    fitted, made = langid.train, []
+    langid.train = lambda texts: made.append(fitted(texts)) or made[0]
+    try:
+        got = rows(langid.language(docs))
+    finally:
+        langid.train = fitted
+    field = made[0]
+    for r in got[:60]:
+        ws = langid.split_words(text[r["doc_id"]])
+        if not ws:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        emit = np.stack([field.scores([w])[0] for w in ws])
+        f = [field.start + emit[0]]
+        for e in emit[1:]:
+            f.append(e + np.logaddexp.reduce(f[-1][:, None] + field.trans, axis=0))
+        g = [np.zeros(len(field.labels))]
+        for e in emit[:0:-1]:
+            g.insert(0, np.logaddexp.reduce(field.trans + (e + g[0]), axis=1))
+        p = np.array(f) + np.array(g)
+        mean = np.exp(p - np.logaddexp.reduce(p, axis=1, keepdims=True)).mean(0)
+        assert r["lang_pred"] == field.labels[int(mean.argmax())] and r["score"] == pytest.approx(min(1.0, mean.max()), rel=1e-6)
+
+
 def test_language(spark, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

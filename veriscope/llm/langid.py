@@ -7,8 +7,8 @@ of their own.  Forward-backward gives every word's posteriors; a text's language
 largest mean posterior, which is its score.
 
 The field is fitted on at most ``SAMPLE`` labelled texts of each language (those of least hash, so a
-third of all rows in one source or group of copies does not matter), cut at random places into
-sequences of ``SEQUENCE`` words at most ``PER_TEXT`` a text; everything else reads whole texts.
+third of all rows in one source or group of copies does not matter).  Those texts are learned from whole,
+in sequences of ``SEQUENCE`` words, by gradients of the likelihood; every language of the table is one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without labelled
 training texts every text is ``und``; repeated rows are returned each; a null doc_id belongs to the
@@ -18,18 +18,17 @@ training texts; other columns are not read.
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm.texts import documents, fold, map_texts
 
-#: Labelled texts of each language that the field is fitted on, and languages at most.
-SAMPLE, LANGUAGES = 400, 200
-SEQUENCE, PER_TEXT = 40, 4
+#: Labelled texts of each language that the field is fitted on.
+SAMPLE = 400
+SEQUENCE = 40
+#: States up to which a chain is cut into blocks, at a cost of their cube; beyond, texts advance word by word together.
+FEW = 8
 BUCKETS = 1 << 16
 LEXICON = 200
 EPOCHS = 3
@@ -76,18 +75,18 @@ def grams(names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 class Field:
     """Emission weights by bucket, lexicon weights, transitions and the start."""
 
-    def __init__(self, labels: list[str], lexicon: dict[str, int]):
-        self.labels, self.lexicon = labels, lexicon  # a word's languages as bits
+    def __init__(self, labels: list[str], lexicon: dict[str, set[int]]):
+        self.labels = labels
         n = len(labels)
         self.emit, self.lex = np.zeros((BUCKETS, n)), np.zeros((n, n))
         self.trans, self.start = np.zeros((n, n)), np.zeros(n)
+        self.row = {w: i for i, w in enumerate(lexicon, 1)}
+        self.bits = np.zeros((len(lexicon) + 1, n), np.uint8)  # the first row is that of all other words
+        for i, own in enumerate(lexicon.values(), 1):
+            self.bits[i, sorted(own)] = 1
 
     def listed(self, names: list[str]) -> np.ndarray:
-        out = np.zeros((len(names), len(self.labels)))
-        for r, bits in enumerate(map(self.lexicon.get, names)):
-            if bits:
-                out[r] = [bits >> i & 1 for i in range(len(self.labels))]
-        return out
+        return self.bits[[self.row.get(w, 0) for w in names]]
 
     def scores(self, names: list[str]) -> np.ndarray:
         """Log scores of distinct words by language."""
@@ -102,10 +101,56 @@ class Field:
 def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Posteriors of every word of several sequences laid end to end.
 
-    ``emit``: words by states, log scores; ``first``: True where a sequence starts.  The chain is cut
-    into blocks; all blocks advance together, once as products of matrices to learn what enters each
-    block, and once more from there.  Scaling at each step keeps it exact in floating point.
+    ``emit``: words by states, log scores; ``first``: True where a sequence starts.
     """
+    alpha, beta, _ = messages(emit, first, trans, start)
+    post = alpha * beta
+    return post / post.sum(1, keepdims=True)
+
+
+def pair_sums(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of every word, and the expected number of each transition in all sequences."""
+    alpha, beta, e = messages(emit, first, trans, start)
+    post = alpha * beta
+    inner = np.flatnonzero(~first)
+    t, right = np.exp(trans - trans.max()), e[inner] * beta[inner]
+    left = alpha[inner - 1]
+    whole = ((left @ t) * right).sum(1, keepdims=True)  # of each pair of neighbours
+    return post / post.sum(1, keepdims=True), (left / whole).T @ right * t
+
+
+def messages(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward messages of every word, and its scaled emissions."""
+    return (_by_blocks if emit.shape[1] <= FEW else _by_words)(emit, first, trans, start)
+
+
+def _by_words(emit, first, trans, start):
+    """All sequences advance together, the longest to its end."""
+    n, k = emit.shape
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    t, s = np.exp(trans - trans.max()), np.exp(start - start.max())
+    at = np.flatnonzero(first)
+    size = np.diff(np.append(at, n))
+    order = np.argsort(-size, kind="stable")
+    at, size = at[order], size[order]
+    going = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # sequences longer than each step
+    alpha, beta = np.empty((n, k)), np.ones((n, k))
+    v = np.broadcast_to(s, (len(at), k))
+    for i, m in enumerate(going.tolist()):
+        here = at[:m] + i
+        v = (v[:m] if i == 0 else v[:m] @ t) * e[here]
+        v = v / v.sum(1, keepdims=True)
+        alpha[here] = v
+    for i in range(len(going) - 2, -1, -1):
+        here = at[: going[i + 1]] + i
+        v = (e[here + 1] * beta[here + 1]) @ t.T
+        beta[here] = v / v.sum(1, keepdims=True)
+    return alpha, beta, e
+
+
+def _by_blocks(emit, first, trans, start):
+    """The chain is cut into blocks; all blocks advance together, once as products of matrices to learn what
+    enters each block, and once more from there.  Scaling at each step keeps it exact in floating point."""
     n, k = emit.shape
     e = np.exp(emit - emit.max(1, keepdims=True))
     t, s = np.exp(trans - trans.max()), np.exp(start - start.max())
@@ -149,8 +194,7 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, sta
     for i in range(width - 1, -1, -1):
         v = scaled(np.where(last[:, i, None], 1.0, (nxt[:, i] * v) @ t.T), 1)
         beta[:, i] = v
-    post = (alpha * beta).reshape(-1, k)[:n]
-    return post / post.sum(1, keepdims=True)
+    return tuple(x.reshape(-1, k)[:n] for x in (alpha, beta, e))
 
 
 def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Field:
@@ -159,25 +203,21 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) ->
     To show the field what a change of language looks like, a sequence follows the one before it with
     the chance that transitions are learned from: one in eight joins sequences of two languages.
     """
-    labels = sorted({y for y, _ in texts})[:LANGUAGES]
+    labels = sorted({y for y, _ in texts})
     index = {y: i for i, y in enumerate(labels)}
-    cut = [(index[y], split_words(t)) for y, t in texts if y in index]
+    cut = [(index[y], split_words(t)) for y, t in texts]
     count: dict[int, dict[str, int]] = {}
     for y, ws in cut:
         own = count.setdefault(y, {})
         for w in set(ws):
             own[w] = own.get(w, 0) + 1
-    lexicon: dict[str, int] = {}
+    lexicon: dict[str, set[int]] = {}
     for y, own in count.items():
         for w in sorted(own, key=lambda w: (-own[w], w))[:LEXICON]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << y
+            lexicon.setdefault(w, set()).add(y)
     field = Field(labels, lexicon)
     rng, n = np.random.default_rng(seed), len(labels)
-    pieces = []
-    for y, ws in cut:
-        for at in rng.integers(0, max(1, len(ws) - SEQUENCE + 1), PER_TEXT if len(ws) > SEQUENCE else 1):
-            if ws:
-                pieces.append((y, ws[at : at + SEQUENCE]))
+    pieces = [(y, ws[at : at + SEQUENCE]) for y, ws in cut for at in range(0, len(ws), SEQUENCE)]
     square = np.full((BUCKETS, n), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(pieces))
@@ -194,7 +234,7 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) ->
             bits = field.listed(ws)
             emit = bits @ field.lex
             np.add.at(emit, owner, field.emit[flat])
-            post = forward_backward(emit, first, field.trans, field.start)
+            post, pairs = pair_sums(emit, first, field.trans, field.start)
             error = -post
             error[np.arange(len(ws)), gold] += 1
             rows, inv = np.unique(flat, return_inverse=True)
@@ -204,14 +244,12 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) ->
             field.emit[rows] += 0.1 * g / np.sqrt(square[rows])
             field.lex += 0.01 * bits.T @ error / 16
             field.start += 0.05 * error[first].sum(0) / max(1, first.sum())
-            # expected transitions from neighbours' posteriors, which the chain has joined
             inner = np.flatnonzero(~first)
             if len(inner):
-                pair = post[inner - 1][:, :, None] * np.exp(field.trans) * np.exp(emit[inner] - emit[inner].max(1, keepdims=True))[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
                 seen = np.zeros((n, n))
                 np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
-                field.trans += 0.5 * (seen - pair.sum(0)) / len(inner)
+                field.trans += 0.5 * (seen - pairs) / len(inner)
+    field.emit = field.emit.astype(np.float32)
     return field
 
 
@@ -235,10 +273,12 @@ def language(docs: DataFrame, *, held_out: int = 0, folds: int = 5, text_col: st
     source = docs.select("doc_id", F.col(text_col).alias("text"), out.alias("held_out"))
     labelled = docs.filter(~out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("y"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
-    size = labelled.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()
-    # a share of all hashes that about SAMPLE texts of the language have
-    share = [(F.col("y") == r["y"]) & (F.xxhash64("t") < -(1 << 63) + min((1 << 64) - 1, (1 << 64) * SAMPLE // r["count"])) for r in size]
-    texts = [(r["y"], r["t"]) for r in labelled.filter(reduce(or_, share)).distinct().limit(2 * SAMPLE * len(size)).collect()] if size else []
+    size = labelled.groupBy("y").count().collect()  # a row a language
+    texts = []
+    if size:
+        # a share of all hashes that about SAMPLE texts of the language have
+        share = F.create_map(*[F.lit(x) for r in size for x in (r["y"], -(1 << 63) + min((1 << 64) - 1, (1 << 64) * SAMPLE // r["count"]))])
+        texts = [(r["y"], r["t"]) for r in labelled.filter(F.xxhash64("t") <= share[F.col("y")]).distinct().limit(2 * SAMPLE * len(size)).collect()]
     field = train(sorted(texts)) if texts else None
     shared = spark.sparkContext.broadcast(field)
     tail = "lang_pred string, score double" + ", words array<string>, langs array<string>" * per_word
