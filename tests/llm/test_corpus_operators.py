@@ -115,15 +115,14 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(ids, 941), 100: 899, 101: 899}
 
 
-def check_repeats(docs):
-    raw = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
-    want = plain.repeats(raw)
-    got = rows(suffix.repeated(docs))
-    assert len(got) == docs.count()
-    for r in got:
-        kept, removed, runs = want[r["doc_id"]]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(raw[r["doc_id"]]), removed, runs), r
-        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+def check_repeats(docs, **how):
+    """Rows in the order of ids, those without one first, and of equal ids in the order of the table."""
+    text = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    order = sorted(range(len(text)), key=lambda i: (text[i][0] is not None, text[i][0] or 0, i))
+    want = plain.repeats({k: text[i][1] for k, i in enumerate(order)})
+    want = sorted((str(text[i][0]), len(text[i][1]), want[k][1], want[k][2], hashlib.sha256(want[k][0]).hexdigest()) for k, i in enumerate(order))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix.repeated(docs, **how))]
+    assert sorted(got) == want
 
 
 def made(spark, part):
@@ -139,27 +138,40 @@ def made(spark, part):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).sortWithinPartitions("doc_id")
 
 
-def test_repeats(spark, small, empty):
+def test_repeats(spark, small, hard, empty):
     check_repeats(made(spark, 1))
     check_repeats(small)
+    check_repeats(hard)
     assert suffix.repeated(empty).count() == 0
 
 
-def test_repeats_in_parts(spark, monkeypatch):
-    """Collections cut at a few contexts, texts cut at a few thousand bytes: the same result."""
-    want = sorted(map(str, suffix.repeated(made(spark, 2)).collect()))
-    monkeypatch.setattr(suffix, "PART", 4)
-    monkeypatch.setattr(suffix, "COLLECTION", 10)
-    assert sorted(map(str, suffix.repeated(made(spark, 2)).collect())) == want
+def test_repeats_of_odd_ids(spark):
+    """Null and repeated ids whose texts differ, in several partitions."""
+    own = made(spark, 3)
+    odd = own.withColumn("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 5)).withColumn("rid", F.lit(1))
+    check_repeats(odd)
+
+
+@pytest.mark.parametrize("part", [1, 4])
+def test_repeats_in_parts(spark, part):
+    """Collections cut at a few contexts: the same result."""
+    check_repeats(made(spark, 2), part=part, collection=10)
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_repeats_with_a_weak_hash(spark, bits):
+    """Contexts that differ under one hash: the bytes tell, and another hash is taken."""
+    check_repeats(made(spark, 2), bits=bits)
 
 
 def test_long_text_in_pieces():
     """Strings of a text longer than a piece are named by the same anchors."""
     import pyarrow as pa
+    import zstandard
 
     rng = np.random.default_rng(4)
     raw = rng.integers(97, 123, suffix.PIECE + 5000).astype(np.uint8).tobytes()
-    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([raw], pa.binary())], names=["doc", "rid", "raw"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([zstandard.compress(raw)], pa.binary())], names=["doc", "rid", "z"])
     starts = []
     for out in suffix._occurrences([batch]):
         q = out.column(4).to_numpy()
