@@ -205,6 +205,51 @@ def test_neighbours_recall(spark):
         assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
 
 
+def recalls(got, want):
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.array([len(found[q] & {v for v, _ in own}) / len(own) for q, own in want.items()])
+
+
+@pytest.mark.parametrize("spread", [0.6, 0.9])
+def test_neighbours_of_clusters(spark, spread):
+    """Twenty thousand vectors in two hundred clusters: queries read under a fifth of them."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(200, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = centre[rng.integers(0, 200, 20_000)] + spread / 8 * rng.normal(size=(20_000, 64))
+    v = [(i, e) for i, e in enumerate(x.tolist())]
+    own = recalls(ann.neighbours(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).collect(), exact(v))
+    print("recall", own.mean(), "least", own.min(), "share below 0.5", (own < 0.5).mean())
+    assert own.mean() >= 0.9 and (own < 0.5).mean() <= 0.01
+    # what a query reads: the rows of its lists
+    top = float(np.linalg.norm(x, axis=1).max())
+    graph = ann.Graph(ann.bisected(ann.lifted(x, top), len(x) // ann.LIST_ROWS))
+    sizes = np.bincount(np.concatenate(ann.placed(ann.lifted(x, top), graph)), minlength=len(graph.c))
+    asked = ann.asked(x[::20], graph, top, sizes, ann.fitted(x, graph, top, 20))
+    read = np.array([sizes[o].sum() for o in asked]) / len(x)
+    print("rows read", read.mean())
+    assert read.mean() < 0.2
+
+
+def test_neighbours_without_structure(spark):
+    """Directions at random: there is little to prune, and the ratio says so."""
+    x = np.random.default_rng(2).normal(size=(12_000, 48))
+    v = [(i, e) for i, e in enumerate(x.tolist())]
+    own = recalls(ann.neighbours(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).collect(), exact(v))
+    print("recall", own.mean(), "least", own.min(), "share below 0.5", (own < 0.5).mean())
+    assert own.mean() >= 0.9 and (own < 0.5).mean() <= 0.02
+
+
+def test_neighbours_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    v = [(i, rng.normal(size=8 if i % 2 else 12).tolist()) for i in range(0, 1500)] + [(5000, rng.normal(size=8).tolist())]
+    got = ann.neighbours(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).collect()
+    want = exact([x for x in v if len(x[1]) == 12]) | exact([x for x in v if len(x[1]) == 8])
+    assert 5000 in want and recalls(got, want).min() == 1
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     bad = [(1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [1.0, inf]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0])]
