@@ -258,6 +258,53 @@ def test_brown(hard, small, empty):
     assert brown.lm_score(empty).count() == 0
 
 
+def test_brown_score_against_plain(spark):
+    """Scores from the words' classes: bigrams of classes and words in classes counted text by text."""
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a b a"), (7, None), (11, "")], "doc_id bigint, text string"))
+    text = [(r["doc_id"], plain.words("".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or ""))) for r in docs.collect()]
+    train = [w for i, w in text if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(x for w in train for x in w)
+    counts = spark.createDataFrame(list(c.items()), "w string, c bigint")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    model = brown.learn(docs.filter(~held), counts)
+    own = {w.decode(): int(k) for w, k in zip(model.names, model.kind)}
+    assert sum(k < brown.CLASSES for k in own.values()) > brown.CLUSTERED
+
+    def kind(w):
+        b = w.encode()
+        form = min(3, (len(b) - 1) // 3) * 2 + any(33 <= x < 127 and not chr(x).isalnum() for x in b)
+        return own.get(w, brown.CLASSES + form)
+
+    end = brown.CLASSES + brown.FORMS
+    after, size, types = Counter(), Counter(), Counter()
+    for w in train:
+        k = [end, *map(kind, w), end]
+        after.update(zip(k, k[1:]))
+    for w, n in c.items():
+        size[kind(w)] += n
+        types[kind(w)] += 1
+    total = Counter()
+    for (a, _), n in after.items():
+        total[a] += n
+
+    def score(w):
+        k, s = [end, *map(kind, w), end], 0.0
+        for a, b in zip(k, k[1:]):
+            s += log10((after[a, b] + 0.5) / (total[a] + 0.5 * (end + 1)))
+        for x in w:
+            s += log10((c[x] + 0.5) / (size[kind(x)] + 0.5 * (types[kind(x)] + (kind(x) >= brown.CLASSES))))
+        return s
+
+    want = sorted((str(i), score(w)) for i, w in text)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in rows(brown.lm_score(docs)))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 def test_brown_tail(small, monkeypatch):
     """Counts that no task holds give the same scores as those that all do."""
     want = {r["doc_id"]: r for r in rows(brown.lm_score(small))}
