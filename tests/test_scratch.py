@@ -27,3 +27,20 @@ def test_schema_and_rows_stay(spark):
     back = scratch.table(df)
     assert back.dtypes == df.dtypes and back.collect() == df.collect()
     assert scratch.table(df.limit(0)).count() == 0
+
+
+def test_a_cluster_has_to_name_its_folder(spark, monkeypatch):
+    import pytest
+
+    class Cluster:
+        master = "spark://head:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster
+        conf = spark.conf
+
+    with pytest.raises(ValueError):
+        scratch.folder(Session)
+    Cluster.master = "local[2, 4]"
+    assert scratch.folder(Session).startswith("file://")

@@ -1,7 +1,7 @@
 """Tables written to the shared folder to cut lineage.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset (tests,
-a laptop) a temporary folder of this machine is named instead.  A table in it survives the loss of
+The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset and all of Spark
+runs in this process (tests, a laptop) a temporary folder of this machine is named instead.  A table in it survives the loss of
 any executor, is read back by column, and has a lineage of one file scan.  Tables live until they are
 dropped, :func:`release`, or the end of the driver's Python process: call ``release`` between jobs of a
 long session, when nothing reads their results any more.
@@ -10,6 +10,7 @@ long session, when nothing reads their results any more.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of this machine only where the session names none."""
+    """The shared folder; a temporary one of this machine only where the session names none and has no other machine."""
     found = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError(f"{_CONF} has to name a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="veriscope-"))
         found = _own[0]
