@@ -43,9 +43,9 @@ SEED = 42
 #: Bits of a wide fingerprint, its shingles' words, the similarity it is for, and the chance to miss a pair at that similarity.
 WIDE, WIDE_SHINGLE, SIMILARITY, MISS = 1024, 5, 0.8, 0.02
 #: Fingerprints that share a segment value and are compared each with each.
-HOT = 16
-#: Standard deviations around the bits that differ at the similarity within which sets decide, and the same for 64 bits.
-SLACK, SLACK_64 = 2, 4
+HOT = 4
+#: Standard deviations around the bits that differ at the similarity within which sets decide, and the same for the first 128 bits.
+SLACK, SLACK_128 = 2, 3.25
 #: Shingles that are counted together, for a bit each.
 BLOCK = 1 << 22
 
@@ -196,15 +196,15 @@ def differing(similarity: float) -> float:
 
 
 def plan(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
-    """The width of a segment and the number of segments: a value has about two of ``rows`` by chance."""
-    width, p = max(16, ceil(log2(max(rows, 2))) - 1), differing(similarity)
+    """The width of a segment and the number of segments: a value has about one of ``rows`` by chance."""
+    width, p = max(16, ceil(log2(max(rows, 2)))), differing(similarity)
     found = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     return width, ceil(log(miss) / log(1 - found))
 
 
 def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
-    """The segments of wide fingerprints: number and value in one long.  The first word's bits are in none."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, 64:]
+    """The segments of wide fingerprints: number and value in one long.  The first two words' bits are in none."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, 128:]
     n = bits.shape[1]
     at = np.arange(width * segments)
     at = at % n * (2 * (at // n * 101) + 1) % n  # beyond all bits once more, in another order
@@ -213,20 +213,21 @@ def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
 
 
 def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
-    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first word but for ``most``."""
-    table = fps.select("id", "x", F.explode("keys").alias("key"))
+    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first two words but for ``most``."""
+    own = ("id", "x", "y")
+    table = fps.select(*own, F.explode("keys").alias("key"))
     masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
     # of two values that differ in a bit, the one that has it looks up the other
     ball = F.filter(F.transform(masks, lambda m: F.struct((m == 0).alias("same"), F.when((m == 0) | (F.col("key").bitwiseAND(m) != 0), F.col("key").bitwiseXOR(m)).alias("v"))), lambda e: e["v"].isNotNull())
-    probes = table.select("id", "x", F.explode(ball).alias("e")).select(F.col("id").alias("p"), F.col("x").alias("px"), "e.same", F.col("e.v").alias("key"))
-    own = F.struct("id", "x")
-    ends = F.array_distinct(F.array(F.min(own), F.max(own), F.min_by(own, "x"), F.max_by(own, "x"))).alias("ends")
+    probes = table.select(*own, F.explode(ball).alias("e")).select(*[F.col(c).alias(f"p{c}") for c in own], "e.same", F.col("e.v").alias("key"))
+    some = F.struct(*own)
+    ends = F.array_distinct(F.array(F.min(some), F.max(some), F.min_by(some, "x"), F.max_by(some, "x"))).alias("ends")
     crowded = table.groupBy("key").agg(F.count("*").alias("n"), ends).filter(F.col("n") > HOT).select("key", "ends")
     probes = probes.join(crowded, "key", "left")
-    near = (F.col("p") != F.col("id")) & (_far(F.col("px"), F.col("x")) <= most)
-    cold = probes.filter("ends is null").drop("ends").join(table, "key").filter(near & (~F.col("same") | (F.col("p") < F.col("id"))))
-    hot = probes.filter("ends is not null").select("p", "px", F.explode("ends").alias("t")).select("p", "px", "t.id", "t.x").filter(near)
-    return cold.select("p", "id").unionByName(hot.select("p", "id")).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    near = (F.col("pid") != F.col("id")) & (_far(F.col("px"), F.col("x")) + _far(F.col("py"), F.col("y")) <= most)
+    cold = probes.filter("ends is null").drop("ends").join(table, "key").filter(near & (~F.col("same") | (F.col("pid") < F.col("id"))))
+    hot = probes.filter("ends is not null and same").select("pid", "px", "py", F.explode("ends").alias("t")).select("pid", "px", "py", "t.*").filter(near)
+    return cold.select("pid", "id").unionByName(hot.select("pid", "id")).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -236,21 +237,21 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     longs = WIDE // 64
     width, segments = plan(docs.count(), similarity)
     p = differing(similarity)
-    least, most, most_64 = (int(n * p + k * (n * p * (1 - p)) ** 0.5) for n, k in ((WIDE, -SLACK), (WIDE, SLACK), (64, SLACK_64)))
+    least, most, most_128 = (int(n * p + k * (n * p * (1 - p)) ** 0.5) for n, k in ((WIDE, -SLACK), (WIDE, SLACK), (128, SLACK_128)))
 
     def make():
         def run(texts):
             own = vote(texts, shingle, words=longs)
             own_keys = keys(own, width, segments)
             offsets = np.arange(0, own_keys.size + 1, segments, dtype=np.int32)
-            return [pa.array([r.tobytes() for r in own], pa.binary()), pa.array(own[:, 0]), pa.ListArray.from_arrays(offsets, pa.array(own_keys.ravel()))]
+            return [pa.array([r.tobytes() for r in own], pa.binary()), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(own_keys.ravel()))]
 
         return run
 
-    every = map_texts(docs.select("doc_id", F.col(f"`{text_col}`").alias("t")), make, "fp binary, x bigint, keys array<bigint>", keep=["doc_id", "t"], text_col="t")
+    every = map_texts(docs.select("doc_id", F.col(f"`{text_col}`").alias("t")), make, "fp binary, x bigint, y bigint, keys array<bigint>", keep=["doc_id", "t"], text_col="t")
     every = scratch.table(every.withColumn("id", F.monotonically_increasing_id()), "wide")
-    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("keys").alias("keys")), "distinct")
-    pairs = _candidates(fps, width, most_64)
+    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("keys").alias("keys")), "distinct")
+    pairs = _candidates(fps, width, most_128)
     word = lambda c: F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
     full = fps.select("id", word(F.col("fp")).alias("w"))
     met = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
