@@ -372,7 +372,7 @@ def _removed(packed: DataFrame, kind: str, seed: int, part: int, collection: int
     firsts = groups.filter("not whole").groupBy("rid").agg(F.collect_list(F.struct("a", "part", "split", "doc", "q")).alias("found"))
     texts = packed.join(firsts, "rid").select("rid", "z", "found").mapInArrow(_contexts, "a bigint, part bigint, split boolean, doc bigint, rid bigint, s bigint, off int, text binary")
     sets = texts.repartition(parts, "a", "part").sortWithinPartitions("a", "part")
-    own = scratch.table(sets.mapInArrow(lambda x: _repeats(x, collection), _FOUND), "repeats")
+    own = scratch.table(sets.mapInArrow(lambda x: _repeats(x, collection), _FOUND).hint("rebalance"), "repeats")
     open_ = own.filter("open").select("a", "t", "rid", "s", "e", F.struct("doc", "rid", "s").alias("at"))
     least = open_.groupBy("a", "t").agg(F.min("at").alias("least"))
     late = open_.join(least, ["a", "t"]).filter(F.col("at") > F.col("least")).select("rid", "s", "e")
@@ -390,7 +390,8 @@ def _removed(packed: DataFrame, kind: str, seed: int, part: int, collection: int
     every = sent.unionByName(own.filter("not open").select("rid", "s", "e").unionByName(late).withColumn("t", F.lit(None).cast("binary")))
     stretches = every.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "t")).alias("found"))
     full = packed.join(stretches, "rid", "left").select("doc_id", "z", "found")
-    return scratch.table(full.mapInArrow(_kept, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, same_ boolean"), "kept")
+    done = full.mapInArrow(_kept, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, same_ boolean")
+    return scratch.table(done.hint("rebalance"), "kept")  # a short row a text: few files
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
