@@ -51,7 +51,7 @@ def test_errors_are_values():
     assert P.rewrite("x = 'a'", ["literal_format"])[0] in ("ok", "error")
 
 
-def test_exclusive_mutations_raise():
+def test_exclusive_mutations_raise(spark):
     with pytest.raises(ValueError):
         ops.rewritten(F.lit("x"), "random", "sequential")
     with pytest.raises(ValueError):
@@ -101,5 +101,65 @@ def test_sandbox(spark):
 def test_fuzz_tries_a_hundred_inputs(spark):
     from veriscope.plans import catalog
 
-    r = catalog.QUERIES["x34_fuzz"](spark, "").first()
-    assert r["tried"] == 100 and r["first_counterexample"] is not None
+    got = {r["task_id"]: r for r in catalog.QUERIES["x34_fuzz"](spark, "").collect()}
+    assert all(r["tried"] == 100 for r in got.values())
+    assert got["right"]["counterexample"] is None and got["other inputs"]["counterexample"] is not None
+
+
+LOOPS = [
+    ("def f(xs):\n    t = 0\n    for x in xs:\n        if x % 2:\n            continue\n        t += x\n    else:\n        t += 100\n    return t", ["[1, 2, 3, 4]", "(2, 4)", "{2, 4}", "[]"]),
+    ("def f(n):\n    o = []\n    for i in range(n):\n        n = n - 1\n        o.append(i)\n    return o", ["5", "0"]),
+    ("def f(n):\n    o = []\n    for i in range(n, -3, -2):\n        i += 1\n        o.append(i)\n    return o", ["5", "-9"]),
+    ("def f(n):\n    o = []\n    for i in range(1, 10, n):\n        o.append(i)\n    return o", ["5", "1", "-1"]),
+    ("def f(a, b):\n    o = []\n    for x, (y, z) in zip(a, b):\n        o.append(x + y + z)\n    return o", ["[1, 2, 3], [(1, 2), (3, 4)]"]),
+    ("def f(a):\n    o = []\n    for i, x in enumerate(a, 3):\n        o.append((i, x))\n    for i, x in enumerate(a):\n        o.append((i, x))\n    return o", ["'abc'", "[]"]),
+    ("def f(a):\n    o = []\n    for x in reversed(a):\n        o.append(x)\n    s = [3, 4]\n    for v in s:\n        if v < 5:\n            s.append(v + 1)\n        o.append(v)\n    return o", ["[1, 2]", "'ab'"]),
+    ("def f(d):\n    o = []\n    for k, v in d.items():\n        for w in v:\n            if w == 2:\n                break\n            o.append((k, w))\n    return o", ["{'a': [1, 2, 3], 'b': [5]}"]),
+    ("def f(n):\n    o = []\n    s = [n, n + 1]\n    for v in s:\n        s = [7, 8, 9]\n        o.append(v)\n    return o", ["3"]),
+]
+
+
+@pytest.mark.parametrize("source, inputs", LOOPS)
+def test_loops(source, inputs):
+    code = P.for2while(source)
+    assert "for " not in code
+    for a in inputs:
+        args = ast.literal_eval(f"({a},)")
+        assert call(code, "f", args) == call(source, "f", args), code
+
+
+def test_forms_of_loops():
+    """Bounds follow from what is iterated: no list where a range or a sequence is."""
+    assert "while index < stop" in P.for2while("def f(n):\n    for i in range(n):\n        print(i)")
+    assert "while index > stop" in P.for2while("def f(n):\n    for i in range(9, n, -1):\n        print(i)")
+    assert "min(len(items), len(items1))" in P.for2while("def f(a, b):\n    for x, y in zip(a, b):\n        print(x)")
+    assert "[::-1]" in P.for2while("def f(a):\n    for x in reversed(a):\n        print(x)")
+    assert "list(" not in P.for2while("def f():\n    s = 'ab'\n    for x in s:\n        print(x)")
+
+
+def test_slices_keep_their_order():
+    swap = P.REWRITES["commutative_reorder"]
+    source = "def f(a, b):\n    return a[1:] + a[:1], b + 1"
+    assert "a[1:] + a[:1], 1 + b" in swap(source) and call(swap(source), "f", ([1, 2], 3)) == ([2, 1], 4)
+
+
+def test_tests_apart():
+    """A test that hangs fails alone; cases of unittest have a verdict for each method."""
+    case = "import unittest\nclass C(unittest.TestCase):\n    def test_a(self):\n        self.assertEqual(f(1), 2)\n    def test_b(self):\n        self.fail()"
+    out = sandbox.run("def f(n):\n    return n + 1", tests={"good": "assert f(1) == 2", "hangs": "while True: pass", "bad": "assert f(1) == 1", "u": case}, seconds=2)
+    assert out["tests"] == {"good": True, "hangs": False, "bad": False, "u.C.test_a": True, "u.C.test_b": False}
+
+
+def test_fuzz_and_inputs(spark):
+    pairs = [(1, "f", "def f(a, i):\n    return a[i]", "def f(a, i):\n    return a[i]", "list,int"), (2, "f", "def f(s):\n    return s", "def f(s):\n    return s.lower()", "str"), (3, "f", "def f(n):\n    return n", "def f(n):\n    raise ValueError", "int"), (4, "f", "def f(n:", "def f(n):\n    return n", "int")]
+    got = {r["id"]: r for r in sandbox.fuzz(spark.createDataFrame(pairs, "id int, function string, source string, mutated string, kinds string"), ["id"], seconds=5).collect()}
+    assert got[1]["counterexample"] is None and got[1]["tried"] == 100
+    assert any(c.isupper() for c in got[2]["counterexample"]) and got[3]["counterexample"] == got[4]["counterexample"] == "(0,)"
+    assert [P.generate("list,int", 1, i) for i in range(9)] == [P.generate("list,int", 1, i) for i in range(9)]
+    with pytest.raises(ValueError):
+        P.generate("tree", 1, 0)
+
+
+def test_undefined_names():
+    assert P.undefined("import os\ndef f(a, *b, c=1, **d):\n    try:\n        return [x for x in b if y], os, len(a), z\n    except KeyError as e:\n        raise e") == ["y", "z"]
+    assert P.undefined("from math import *\nprint(pi)") == []

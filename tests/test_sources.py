@@ -80,3 +80,36 @@ def test_windows_on_a_stream(spark, tmp_path, window):
     q.awaitTermination()
     key = lambda r: str([x if not isinstance(x, float) else round(x, 4) for x in r])
     assert sorted(map(key, spark.table(f"w_{window.__name__}").collect())) == sorted(map(key, window(events).collect()))
+
+
+def test_documents_opened_again(spark, tmp_path):
+    schema = StructType.fromDDL("_id int, x string")
+    path = str(tmp_path / "again")
+    L.Documents(spark, path, schema).replace(spark.createDataFrame([(1, "a")], schema))
+    again = L.Documents(spark, path, schema)
+    assert again.version == 1
+    again.upsert(spark.createDataFrame([(2, "b")], schema))
+    (tmp_path / "again" / "v9").mkdir()  # a version that was not written to its end
+    assert sorted(map(tuple, L.Documents(spark, path, schema).read().collect())) == [(1, "a"), (2, "b")]
+
+
+def test_retried():
+    calls = []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "ok"
+
+    assert L.retried(call, wait=0) == "ok" and len(calls) == 3
+    with pytest.raises(ConnectionError):
+        L.retried(lambda: (_ for _ in ()).throw(ConnectionError()), times=2, wait=0)
+
+
+def test_numbered(spark):
+    from veriscope.operators.align import numbered
+
+    rows = [(i * 7 % 101, str(i)) for i in range(101)]
+    got = sorted((r["n"], r["k"]) for r in numbered(spark.createDataFrame(rows, "k int, v string"), "k", "n").collect())
+    assert got == [(i, i) for i in range(101)]

@@ -7,8 +7,10 @@ A rewrite that finds nothing to change raises :class:`NothingToDo`, whose name i
 from __future__ import annotations
 
 import ast
+import builtins
 import hashlib
 import math
+import random
 from collections import Counter
 
 
@@ -136,27 +138,83 @@ def for2enumerate(source: str) -> str:
     return ast.unparse(ast.fix_missing_locations(tree))
 
 
-class _While(ast.NodeTransformer):
-    """A loop over a list of what is iterated, with a counter that every ``continue`` advances too."""
+def _name(n: str, store: bool = False) -> ast.Name:
+    return ast.Name(n, ast.Store() if store else ast.Load())
 
-    def __init__(self, used: set[str]):
-        self.used, self.done = used, 0
+
+class _While(ast.NodeTransformer):
+    """A loop with a counter and a bound that follows from what is iterated: the ends of a range, the length of a
+    sequence, the least length of a zip.  What may be no sequence is made a list first, so the order and the
+    number of rounds stay."""
+
+    def __init__(self, used: set[str], types: dict[str, str]):
+        self.used, self.types, self.bound_names, self.done = used, types, set(), 0
+
+    def sequence(self, x: ast.expr, before: list) -> ast.expr:
+        """An expression to index: a name that holds a sequence, as it is or by an assignment before the loop."""
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == "reversed" and len(x.args) == 1:
+            backwards = ast.Slice(None, None, ast.UnaryOp(ast.USub(), ast.Constant(1)))
+            x = ast.Subscript(self.sequence(x.args[0], before), backwards, ast.Load())
+        elif type_of(x, self.types) not in ("list", "str", "tuple"):
+            x = _call("list", x)
+        elif isinstance(x, ast.Name) and x.id not in self.bound_names:
+            return x
+        name = _fresh(self.used, "items")
+        before.append(ast.Assign([_name(name, True)], x))
+        return _name(name)
+
+    def bound(self, x: ast.expr, before: list) -> ast.expr:
+        """A number that the loop's body cannot change."""
+        if isinstance(x, ast.Constant):
+            return x
+        name = _fresh(self.used, "stop")
+        before.append(ast.Assign([_name(name, True)], x))
+        return _name(name)
 
     def visit_For(self, node):
         self.generic_visit(node)
         self.done += 1
-        items, at = _fresh(self.used, "items"), _fresh(self.used, "index")
-        load, store = (lambda n: ast.Name(n, ast.Load())), (lambda n: ast.Name(n, ast.Store()))
-        step = ast.AugAssign(store(at), ast.Add(), ast.Constant(1))
+        at, before = _fresh(self.used, "index"), []
+        self.bound_names = {n.id for part in (node.target, *node.body) for n in ast.walk(part) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        it, start, step = node.iter, ast.Constant(0), ast.Constant(1)
+        kind = it.func.id if isinstance(it, ast.Call) and isinstance(it.func, ast.Name) and not it.keywords and not any(isinstance(a, ast.Starred) for a in it.args) else None
+        test: ast.cmpop = ast.Lt()
+        by = _integer(it.args[2]) if kind == "range" and len(it.args) == 3 else 1
+        if kind == "range" and 1 <= len(it.args) <= 3 and by:
+            start = self.bound(it.args[0], before) if len(it.args) > 1 else start
+            limit = self.bound(it.args[1 if len(it.args) > 1 else 0], before)
+            step, test = (ast.Constant(by), ast.Lt()) if by > 0 else (ast.UnaryOp(ast.USub(), ast.Constant(-by)), ast.Gt())
+            value = _name(at)
+        elif kind == "enumerate" and 1 <= len(it.args) <= 2:
+            items = self.sequence(it.args[0], before)
+            value = ast.Subscript(items, _name(at), ast.Load())
+            count = ast.BinOp(_name(at), ast.Add(), self.bound(it.args[1], before)) if len(it.args) == 2 else _name(at)
+            value, limit = ast.Tuple([count, value], ast.Load()), _call("len", items)
+        elif kind == "zip" and len(it.args) > 1:
+            all_items = [self.sequence(a, before) for a in it.args]
+            value = ast.Tuple([ast.Subscript(i, _name(at), ast.Load()) for i in all_items], ast.Load())
+            limit = _call("min", *[_call("len", i) for i in all_items])
+        else:
+            items = self.sequence(it, before)
+            value, limit = ast.Subscript(items, _name(at), ast.Load()), _call("len", items)
         # the counter moves before the body, so continue needs no copy of the step
-        body = [ast.Assign([node.target], ast.Subscript(load(items), load(at), ast.Load())), step, *node.body]
-        loop = ast.While(ast.Compare(load(at), [ast.Lt()], [_call("len", load(items))]), body, node.orelse)
-        return [ast.Assign([store(items)], _call("list", node.iter)), ast.Assign([store(at)], ast.Constant(0)), loop]
+        body = [ast.Assign([node.target], value), ast.AugAssign(_name(at, True), ast.Add(), step), *node.body]
+        loop = ast.While(ast.Compare(_name(at), [test], [limit]), body, node.orelse)
+        return [*before, ast.Assign([_name(at, True)], start), loop]
+
+
+def _integer(x: ast.expr) -> int | None:
+    """The value of an integer literal with or without a sign."""
+    try:
+        n = ast.literal_eval(x)
+    except ValueError:
+        return None
+    return n if type(n) is int else None
 
 
 def for2while(source: str) -> str:
     tree = ast.parse(source)
-    t = _While(_used(tree))
+    t = _While(_used(tree), variable_types(source))
     tree = t.visit(tree)
     if not t.done:
         raise NothingToDo("NoForLoopError")
@@ -188,7 +246,7 @@ class _Literals(ast.NodeTransformer):
 
 def _textual(node: ast.expr) -> bool:
     """Whether an operation looks like one on texts or sequences, whose order matters."""
-    return any(isinstance(n, (ast.JoinedStr, ast.List, ast.Tuple, ast.ListComp)) or isinstance(n, ast.Constant) and isinstance(n.value, (str, bytes)) or isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in ("str", "list", "tuple", "sorted", "chr", "input", "repr") or isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in ("join", "lower", "upper", "replace", "strip", "format", "split") for n in ast.walk(node))
+    return any(isinstance(n, (ast.JoinedStr, ast.List, ast.Tuple, ast.ListComp)) or isinstance(n, ast.Constant) and isinstance(n.value, (str, bytes)) or isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in ("str", "list", "tuple", "sorted", "chr", "input", "repr") or isinstance(n, ast.Subscript) and isinstance(n.slice, ast.Slice) or isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in ("join", "lower", "upper", "replace", "strip", "format", "split") for n in ast.walk(node))
 
 
 class _Commute(ast.NodeTransformer):
@@ -366,7 +424,50 @@ def static_gate(source: str, function: str, arity: int) -> str | None:
     if not named:
         return "wrong name"
     a = named[0].args
-    return None if len(a.args) + len(a.posonlyargs) == arity else "wrong arity"
+    if len(a.args) + len(a.posonlyargs) != arity:
+        return "wrong arity"
+    return "undefined name" if undefined(source) else None
+
+
+def undefined(source: str) -> list[str]:
+    """Names that a program reads and binds nowhere, in order of place: what a linter calls an error."""
+    tree, bound, read = ast.parse(source), set(dir(builtins)) | {"__name__", "__file__"}, []
+    for n in ast.walk(tree):
+        match n:
+            case ast.Name(ctx=ast.Load()):
+                read.append((n.lineno, n.col_offset, n.id))
+            case ast.Name() | ast.arg() | ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                bound.add(getattr(n, "id", None) or getattr(n, "arg", None) or getattr(n, "name", None))
+            case ast.alias():
+                bound.add((n.asname or n.name).split(".")[0])
+                if n.name == "*":
+                    return []  # anything may be bound
+            case ast.ExceptHandler(name=str()) | ast.MatchAs(name=str()) | ast.MatchStar(name=str()):
+                bound.add(n.name)
+            case ast.Global() | ast.Nonlocal():
+                bound.update(n.names)
+    return list(dict.fromkeys(name for _, _, name in sorted(read) if name not in bound))
+
+
+def generate(kind: str, seed: int, i: int):
+    """Input ``i`` of a kind, which seed, kind and number decide: int, bool, str, list, matrix, or several joined by
+    commas as a tuple.  The first inputs are the edges: zero, empty, one."""
+    if "," in kind:
+        return tuple(generate(k.strip(), seed + j, i) for j, k in enumerate(kind.split(",")))
+    rng = random.Random(f"{seed}:{kind}:{i}")
+    size = i if i < 2 else rng.randrange(2, 9)
+    match kind:
+        case "int":
+            return (0, 1, -1)[i] if i < 3 else rng.randrange(-100, 101)
+        case "bool":
+            return rng.random() < 0.5
+        case "str":
+            return "".join(rng.choice("abcdeABE 019") for _ in range(size))
+        case "list":
+            return [rng.randrange(-50, 51) for _ in range(size)]
+        case "matrix":
+            return [[rng.randrange(-9, 10) for _ in range(size)] for _ in range(max(1, size - 1))]
+    raise ValueError(f"no kind {kind}")
 
 
 def complexity(source: str) -> dict[str, float]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriscope import scratch
+
 
 def keep_first(log: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in an explicit order, since rows of a table have none.
@@ -46,6 +48,19 @@ def cumulative(target: DataFrame, logs: DataFrame, keys: list[str], ordinal: str
     return own.join(held.select(*keys, until), keys).filter("n_ <= until_").drop("n_", "until_")
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows in the order of ``key`` (unique) with their number from zero, without one task that sees them all.
+
+    Ranges of the key are written with the number of their range and numbered apart; the counts of the ranges before
+    one, a row a range, are added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.table(df.repartitionByRange(parts, key).withColumn("p_", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("p_").count().withColumn("before_", F.sum("count").over(Window.orderBy("p_")) - F.col("count"))
+    own = F.row_number().over(Window.partitionBy("p_").orderBy(key)) - 1
+    return dealt.withColumn("n_", own).join(F.broadcast(sizes), "p_").withColumn(name, F.col("n_") + F.col("before_")).drop("p_", "n_", "count", "before_")
+
+
 def pairs(log: DataFrame, group: list[str], ordinal: str) -> DataFrame:
     """All unordered pairs of rows in a group; columns of the later row end in _2."""
     later = log.withColumnsRenamed({c: c + "_2" for c in log.columns if c not in group})

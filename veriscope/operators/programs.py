@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veriscope.functions import programs as P
 from veriscope.functions.outcome import CONFLICT_GROUPS
+from veriscope.schemas import SEED
 
 
 def _safe(f, default):
@@ -104,3 +105,23 @@ def gate(source: Column, function: Column, arity: Column) -> Column:
         return pd.Series([_safe(lambda x: P.static_gate(*x), "no function")(x) for x in zip(s, f, n)])
 
     return run(source, function, arity)
+
+
+def undefined(source: Column) -> Column:
+    """The names that a program reads and binds nowhere; null where it cannot be parsed."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(_safe(P.undefined, None))
+
+    return run(source)
+
+
+def generated(kinds: Column, n: int, seed: int = SEED) -> Column:
+    """The texts of ``n`` inputs of some kinds."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda k: [repr(P.generate(k, seed, i)) for i in range(n)])
+
+    return run(kinds)

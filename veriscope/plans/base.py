@@ -76,3 +76,18 @@ COUNTS = """count(*) AS total_tasks, count(*) FILTER (compared) AS compared, cou
  count(*) FILTER (inc AND W1) AS incorrect_original, count(*) FILTER (inc AND W2) AS incorrect_mutated, count(*) FILTER (inc AND I1) AS invalid_original, count(*) FILTER (inc AND I2) AS invalid_mutated,
  count(*) FILTER (inc AND NOT (I1 OR I2) AND NOT (W1 AND W2)) AS correctness, count(*) FILTER (inc AND W1 AND W2) AS incorrectness, count(*) FILTER (inc AND (I1 OR I2)) AS invalid,
  count(*) FILTER (inc)::DOUBLE AS distance, count(*) FILTER (R1 OR W1) AS answered_1, count(*) FILTER (R2 OR W2) AS answered_2, count(*) FILTER (R1) AS success_1, count(*) FILTER (R2) AS success_2"""
+
+
+def literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return str(v).lower() if isinstance(v, bool) else repr(v)
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """The rows as SQL, with the types that ``columns`` gives."""
+    named = [c.split() for c in columns.split(", ")]
+    cast = ", ".join(f'"{n}"::{t} AS "{n}"' for n, t in named)
+    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({', '.join(f'"{n}"' for n, _ in named)})"

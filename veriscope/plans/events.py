@@ -44,10 +44,10 @@ def _folder(s):
     return f"{scratch.folder(s)}/veriscope-{uuid.uuid4().hex}"
 
 
-@query("s1_log_round_trip", "SELECT count(*) AS rows, count(failure) AS failed, count(DISTINCT output) AS outputs FROM (SELECT CASE l_returnflag WHEN 'A' THEN NULL ELSE l_returnflag END AS failure, l_comment AS output FROM (SELECT *, concat('a \"b\"', chr(10), l_partkey % 10) AS l_comment FROM lineitem WHERE l_linenumber = 1))")
+@query("s1_log_round_trip", "SELECT count(*) AS rows, count(failure) AS failed, count(DISTINCT output) AS outputs FROM (SELECT CASE l_returnflag WHEN 'A' THEN NULL ELSE l_returnflag END AS failure, l_comment AS output FROM (SELECT *, concat('a \"b\"', chr(10), l_partkey % 10) AS l_comment FROM lineitem))")
 def s1(s, d):
     """A log with cells of several lines and quotes, written as CSV and read back."""
-    own = table(s, d, "lineitem").filter("l_linenumber = 1")
+    own = table(s, d, "lineitem")
     rows = own.select(F.concat_ws("_", "l_orderkey", "l_partkey").alias("task_id"), F.lit("p").alias("prompt"), F.concat(F.lit('a "b"\n'), F.col("l_partkey") % 10).alias("model_output"), F.lit("e").alias("expected_output"), F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).alias("failure_type"), F.lit(0.5).alias("geometric"))
     L.write_csv(rows, path := _folder(s))
     back = L.read_log(s, path)
@@ -97,6 +97,12 @@ def s19(s, d):
     return back.select("run", F.col("tasks_requested").cast("bigint").alias("tasks"), L.outcomes_add_up(back).alias("adds_up"))
 
 
+@query("s24_report", "SELECT '<table><tr><th>r_regionkey</th><th>r_name</th><th>nations</th></tr>' || string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td><td>' || n || '</td></tr>', '' ORDER BY r_regionkey) || '</table>' AS html FROM (SELECT r_regionkey, concat('&amp; ', r_name) AS r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1, 2)")
+def s24(s, d):
+    n = table(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("nations"))
+    return L.html_table(table(s, d, "region").join(n, "r_regionkey").select("r_regionkey", F.concat(F.lit("& "), "r_name").alias("r_name"), "nations"), "r_regionkey")
+
+
 @query("s21_replay", "SELECT conv_id, turn, concat('> ', text) AS answer FROM conversations")
 def s21(s, d):
     own = table(s, d, "conversations")

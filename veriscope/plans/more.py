@@ -14,7 +14,8 @@ from veriscope.functions import outcome as O
 from veriscope.functions.programs import same_answer, value_of
 from veriscope.functions.text import literal_answer, prompt_for
 from veriscope.operators import metrics as M
-from veriscope.plans.base import ALIGNED, LOG, log, table
+from veriscope.plans.base import ALIGNED, LOG, log, table, values
+from veriscope.plans.checked import CHECKED
 from veriscope.plans.outcomes import _CATEGORY, _LOG_NAME, THRESHOLDS, _by_category, _log_name, aligned
 from veriscope.sources import logs as L
 
@@ -159,7 +160,7 @@ def s18(s, d):
     return L.read_parameters(s, path).select("ord", F.array_join(F.transform("params", lambda x: x.cast("string")), ",").alias("p"))
 
 
-@query("x18_literal_values")
+@query("x18_literal_values", values(*CHECKED["x18_literal_values"]))
 def x18(s, d):
     @F.pandas_udf("data string, metadata string")
     def value(x: pd.Series) -> pd.DataFrame:
@@ -184,7 +185,7 @@ def x35(s, d):
     return own.select("id", "i", (F.conv(F.substring(h, 1, 7), 16, 10).cast("bigint") % 100).alias("value"))
 
 
-@query("x36_equalities")
+@query("x36_equalities", values(*CHECKED["x36_equalities"]))
 def x36(s, d):
     @F.pandas_udf("boolean")
     def same(a: pd.Series, b: pd.Series) -> pd.Series:

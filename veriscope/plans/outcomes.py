@@ -174,15 +174,15 @@ def j3(s, d):
     return kept.groupBy("mutation").agg(F.count("*").alias("tasks"))
 
 
-@query("j4_pairs_in_template", f"WITH {LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY l_orderkey, mutation, model, price, day) AS o FROM log WHERE mutation = 1) SELECT a.task, count(*) AS pairs, count(*) FILTER (a.output = b.output) AS same FROM x a JOIN x b ON a.task = b.task AND a.o < b.o GROUP BY 1")
+@query("j4_pairs_in_template", f"WITH {LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY l_orderkey, mutation, model, price, day) AS o FROM log) SELECT a.task, count(*) AS pairs, count(*) FILTER (a.output = b.output) AS same FROM x a JOIN x b ON a.task = b.task AND a.o < b.o GROUP BY 1")
 def j4(s, d):
-    own = log(s, d).filter("mutation = 1").select("task", "output", F.row_number().over(Window.partitionBy("task").orderBy(*ORDER)).alias("o"))
+    own = log(s, d).select("task", "output", F.row_number().over(Window.partitionBy("task").orderBy(*ORDER)).alias("o"))
     return A.pairs(own, ["task"], "o").groupBy("task").agg(F.count("*").alias("pairs"), M.count(F.coalesce(F.col("output") == F.col("output_2"), F.lit(False))).alias("same"))
 
 
-@query("j5_failed_with_correct", f"WITH {LOG} SELECT a.task, count(*) AS n FROM (SELECT * FROM log WHERE {wrong('failure')} AND output IS NOT NULL AND mutation = 1) a JOIN (SELECT * FROM log WHERE failure IS NULL AND output IS NOT NULL AND mutation = 1) b USING (task) GROUP BY 1")
+@query("j5_failed_with_correct", f"WITH {LOG} SELECT a.task, count(*) AS n FROM (SELECT * FROM log WHERE {wrong('failure')} AND output IS NOT NULL) a JOIN (SELECT * FROM log WHERE failure IS NULL AND output IS NOT NULL) b USING (task) GROUP BY 1")
 def j5(s, d):
-    own = log(s, d).filter("mutation = 1 and output is not null")
+    own = log(s, d).filter("output is not null")
     bad = own.filter(O.wrong(F.col("failure"))).groupBy("task").agg(F.count("*").alias("a"))
     good = own.filter("failure is null").groupBy("task").agg(F.count("*").alias("b"))
     return bad.join(good, "task").select("task", (F.col("a") * F.col("b")).alias("n"))  # counts multiply, so no pair is made
@@ -207,6 +207,20 @@ def j8(s, d):
     return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("k1"), F.col("l_returnflag").alias("metric")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("total"))
 
 
+@query(
+    "j9_log_matrix",
+    f"""WITH {LOG}, x AS (SELECT task, mutation, bool_or(failure IS NULL) AS ok FROM log GROUP BY 1, 2),
+    y AS (SELECT a.mutation AS log, b.mutation AS other, a.ok <> b.ok AS differ FROM x a JOIN x b ON a.task = b.task AND a.mutation < b.mutation)
+    SELECT log, {", ".join(f"count(*) FILTER (other = {k} AND differ) AS with_{k}" for k in range(2, 8))} FROM y GROUP BY 1""",
+)
+def j9(s, d):
+    """Every two logs side by side: the tasks that one of them has a right answer to and the other has not."""
+    x = log(s, d).groupBy("task", "mutation").agg(F.bool_or(F.col("failure").isNull()).alias("ok"))
+    y = A.pairs(x, ["task"], "mutation")
+    differ = [M.count((F.col("mutation_2") == k) & (F.col("ok") != F.col("ok_2"))).alias(f"with_{k}") for k in range(2, 8)]
+    return y.groupBy(F.col("mutation").alias("log")).agg(*differ)
+
+
 @query("j10_positional", "WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier), b AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT s_suppkey, n_name FROM a JOIN b USING (i)")
 def j10(s, d):
     # the shorter table bounds the result; its rows are numbered, and so many first ones of the other
@@ -229,11 +243,12 @@ def j12(s, d):
     return table(s, d, "customer").join(dims, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
 
 
-@query("j13_expand_templates", "SELECT p_partkey AS template, s_suppkey AS parameter, concat(p_name, ' with ', s_suppkey, '0') AS text FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10 AND p_partkey < 100")
+@query("j13_expand_templates", "SELECT p_partkey AS template, l_suppkey AS parameter, concat(p_name, ' with ', l_suppkey, '0') AS text FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON p_partkey = l_partkey")
 def j13(s, d):
-    t = table(s, d, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("template"), (F.col("p_partkey") % 10).alias("q"), F.concat("p_name", F.lit(" with $00")).alias("tpl"))
-    p = table(s, d, "supplier").select(F.col("s_suppkey").alias("parameter"), (F.col("s_suppkey") % 10).alias("q"))
-    return t.join(p, "q").select("template", "parameter", F.replace("tpl", F.lit("$0"), F.col("parameter").cast("string")).alias("text"))
+    """Each template with each of its parameters: the suppliers that the log has with the part."""
+    t = table(s, d, "part").select(F.col("p_partkey").alias("template"), F.concat("p_name", F.lit(" with $00")).alias("tpl"))
+    p = table(s, d, "lineitem").select(F.col("l_partkey").alias("template"), F.col("l_suppkey").alias("parameter")).distinct()
+    return t.join(p, "template").select("template", "parameter", F.replace("tpl", F.lit("$0"), F.col("parameter").cast("string")).alias("text"))
 
 
 @query("j14_choices", "SELECT l_orderkey AS id, chr((64 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey))::INT) AS letter, l_partkey AS choice FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)")
@@ -376,9 +391,11 @@ def g29(s, d):
     return M.inconsistent_templates(log(s, d), "task", "failure")
 
 
-@query("g30_correctness_score", "WITH x AS (SELECT l_suppkey AS m, count(*) FILTER (l_returnflag = 'A') AS s, 1000 AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), p AS (SELECT *, s::DOUBLE / n AS p FROM x) SELECT m, s, round(p, 6) AS p, round(sqrt(n * p * (1 - p)), 6) AS sd, round(sqrt(p * (1 - p) / n), 6) AS se FROM p")
+@query("g30_correctness_score", "WITH x AS (SELECT l_suppkey AS m, count(*) FILTER (l_returnflag = 'A') AS s, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT *, s::DOUBLE / n AS p FROM x) SELECT m, s, round(p, 6) AS p, round(sqrt(n * p * (1 - p)), 6) AS sd, round(sqrt(p * (1 - p) / n), 6) AS se FROM p")
 def g30(s, d):
-    own = table(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("m"), (F.col("l_returnflag") == "A").alias("ok"), F.lit(1000).alias("n"))
+    rows = table(s, d, "lineitem")
+    trials = rows.groupBy(F.col("l_suppkey").alias("m")).agg(F.count("*").alias("n"))
+    own = rows.select(F.col("l_suppkey").alias("m"), (F.col("l_returnflag") == "A").alias("ok")).join(trials, "m")
     return M.correctness_score(own, ["m"], "ok", "n").select("m", "s", *[F.round(c, 6).alias(c) for c in ("p", "sd", "se")])
 
 
@@ -558,14 +575,14 @@ def o12(s, d):
 # sampling
 
 
-@query("m1_draw_with_replacement")
+@query("m1_draw_with_replacement", "WITH x AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), w AS (SELECT i AS draw, ('0x' || substr(md5('1234:' || i), 1, 15))::BIGINT % n AS i FROM x) SELECT draw, p_partkey, p_name FROM w JOIN x USING (i)")
 def m1(s, d):
     """As many draws as rows: draw i takes the row whose number a seeded hash of i names."""
     own = table(s, d, "part").select("p_partkey", "p_name")
     n = own.count()
-    numbered = own.withColumn("i", F.row_number().over(Window.orderBy("p_partkey")) - 1)
-    draws = s.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(1234), "id"), F.lit(max(n, 1))).cast("int").alias("i"))
-    return draws.join(numbered, "i").select("draw", "p_partkey", "p_name")
+    h = F.substring(F.md5(F.concat(F.lit("1234:"), F.col("id").cast("string")).cast("binary")), 1, 15)
+    draws = s.range(n).select(F.col("id").alias("draw"), (F.conv(h, 16, 10).cast("bigint") % max(n, 1)).alias("i"))
+    return draws.join(A.numbered(own, "p_partkey", "i"), "i").select("draw", "p_partkey", "p_name")
 
 
 @query("m2_systematic_templates", "WITH x AS (SELECT p_brand AS template, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part) SELECT template, p_partkey FROM x WHERE (i - 1) % 7 = 0 AND (i - 1) // 7 < 10")

@@ -62,9 +62,15 @@ def t7(s, d):
     return own.withColumn("p", T.example_parts(F.concat("text", F.lit("Example:"), "role"))).select("conv_id", "turn", "p.before", "p.examples")
 
 
-@query("t12_renamed_words", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', 'var1', 'g'), '\\bof\\b', 'var2', 'g') AS r FROM documents WHERE doc_id % 2 = 0 AND lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def _renamed(text: str, old: str, new: str) -> str:
+    # a word with what stands beside it; twice, since one space may be beside two words
+    own = f"'(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){old}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1{new}\\2', 'g'"
+    return f"regexp_replace(regexp_replace({text}, {own}), {own})"
+
+
+@query("t12_renamed_words", f"SELECT doc_id, {_renamed(_renamed('text', 'the', 'var1'), 'of', 'var2')} AS r FROM documents")
 def t12(s, d):
-    own = table(s, d, "documents").filter("doc_id % 2 = 0 and lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    own = table(s, d, "documents")
     return own.select("doc_id", T.renamed_words(F.col("text"), {"the": "var1", "of": "var2"}).alias("r"))
 
 

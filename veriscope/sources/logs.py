@@ -8,6 +8,8 @@ where an order of rows matters, since a table has none.
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,10 +103,13 @@ def write_instances(df: DataFrame, path: str, by: list[str]) -> None:
 
 class Documents:
     """A table of documents in a folder, replaced as a whole by every change: a new version is written
-    beside the old one, and readers name the version."""
+    beside the old one, and readers name the version.  The last version that was written whole is the table's."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "_id"):
-        self.spark, self.path, self.schema, self.key, self.version = spark, path, schema, key, 0
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+        found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+        self.version = max((int(f.getPath().getParent().getName()[1:]) for f in found), default=0)
 
     def read(self) -> DataFrame:
         if not self.version:
@@ -134,6 +139,32 @@ class Documents:
         return self.read().filter(F.col(self.key) == key)
 
 
+def html_table(df: DataFrame, order: str) -> DataFrame:
+    """A report of a small table as one cell of HTML, its rows by ``order``, what it holds escaped."""
+
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(a), F.lit(b))
+        return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+    head = "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
+    rows = df.select(F.col(f"`{order}`").alias("o_"), F.concat(F.lit("<tr>"), *map(cell, df.columns), F.lit("</tr>")).alias("r_"))
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_", "r_"))), lambda x: x["r_"]), "")
+    return rows.agg(F.concat(F.lit(f"<table>{head}"), every, F.lit("</table>")).alias("html"))
+
+
+def retried(call: Callable, times: int = 3, wait: float = 1.0):
+    """What ``call()`` returns, tried again after a doubling pause where the connection fails."""
+    for i in range(times):
+        try:
+            return call()
+        except (ConnectionError, TimeoutError):
+            if i + 1 == times:
+                raise
+            time.sleep(wait * 2**i)
+
+
 class ResponseSource(Protocol):
     def answer(self, prompts: DataFrame) -> DataFrame: ...
 
