@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope import scratch
-from veriscope.llm.texts import documents
+from veriscope.llm.texts import documents, small
 
 KINDS = ("assign", "access", "hex")
 #: Kinds of spans beyond the base ones.
@@ -147,7 +147,9 @@ def secrets(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "
     found = scratch.table(parts(docs, keep, text_col).withColumn("row", F.monotonically_increasing_id()), "parts")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<start: bigint, end: bigint, kind: string>>")
-    return found.join(linked(found, scope), "row", "left").select(*[F.col(f"`{k}`") for k in keep], plain.alias("base"), F.coalesce("added", none).alias("added"))
+    near = scratch.table(linked(found, scope), "linked")
+    near = small(near, near.agg(F.sum(F.size("added") + 1)).first()[0] or 0)
+    return found.join(near, "row", "left").select(*[F.col(f"`{k}`") for k in keep], plain.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def redacted(text: Column, *taken: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope import scratch
-from veriscope.llm.texts import documents, lower_ascii, map_texts, words
+from veriscope.llm.texts import documents, lower_ascii, map_texts, small, words
 
 SHINGLE = 3
 DISTANCE = 2
@@ -248,9 +248,11 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
 
         return run
 
-    every = map_texts(docs.select("doc_id", F.col(f"`{text_col}`").alias("t")), make, "fp binary, x bigint, y bigint, keys array<bigint>", keep=["doc_id", "t"], text_col="t")
+    start = scratch.mark()
+    texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).select("doc_id", "t", F.md5(F.col("t").cast("binary")).alias("h"))
+    every = map_texts(texts, make, "fp binary, x bigint, y bigint, keys array<bigint>", keep=["doc_id", "h"], text_col="t")
     every = scratch.table(every.withColumn("id", F.monotonically_increasing_id()), "wide")
-    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("keys").alias("keys")), "distinct")
+    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("h").alias("h"), F.min("keys").alias("keys")), "distinct")
     pairs = _candidates(fps, width, most_128)
     word = lambda c: F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
     full = fps.select("id", word(F.col("fp")).alias("w"))
@@ -262,16 +264,23 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     of = lambda c: group.select(F.col("fp").alias(c), F.col("component_id").alias(f"c{c}"))
     unsure = near.filter(F.col("d") > least).join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"})
     closest = unsure.filter("ca != cb").groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
-    found = scratch.table(sure.unionByName(_similar(scratch.table(closest, "closest"), every, shingle, similarity)), "links")
+    found = scratch.table(sure.unionByName(_similar(scratch.table(closest, "closest"), fps, texts, shingle, similarity)), "links")
     named = fps.join(components(found, fps.select(F.col("id").alias("fp"), "doc_id")).withColumnRenamed("fp", "id"), "id", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
     named = scratch.table(named, "components")
-    return every.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id")
+    done = scratch.table(every.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id"), "named")
+    scratch.release(keep=done, since=start)
+    return done
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b of ids whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``."""
+def _similar(pairs: DataFrame, fps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b of ids whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Texts are found by their MD5; those of the pairs are few where near copies are.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = texts.join(ids, "id", "left_semi").select("id", words(lower_ascii(F.col("t"))).alias("w"))
+    asked = scratch.table(fps.join(ids, "id", "left_semi").select("id", "h"), "asked")
+    met = texts.join(small(asked.select("h").distinct(), asked.count()), "h", "left_semi").select("h", words(lower_ascii(F.col("t"))).alias("w"))
+    own = asked.join(met.groupBy("h").agg(F.min("w").alias("w")), "h")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1)))
     sets = own.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(shingle))))).alias("s"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")

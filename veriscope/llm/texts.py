@@ -36,6 +36,11 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def small(table: DataFrame, rows: int | None = None, most: int = 1 << 20) -> DataFrame:
+    """A stored table with the wish to be broadcast where it has at most ``most`` rows (or ``rows`` says so), else as it is."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= most else table
+
+
 def chunks(texts: list, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a list of strings with about ``size`` characters each, at least one string."""
     start, total = 0, 0
