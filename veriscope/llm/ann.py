@@ -42,6 +42,8 @@ AIM, ASKED, LEAST_ROWS = 0.97, 256, 1000
 #: Lists that a query reads first.
 FIRST = 2
 NEIGHBOURS, ROUNDS = 16, 6
+#: Centroids that a walk holds: vectors are placed as carefully as queries look for them.
+WIDTH = 64
 CHUNK, QUERY_CHUNK = 1024, 256
 
 
@@ -132,7 +134,7 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
 
 def placed(x: np.ndarray, graph: Graph) -> list[np.ndarray]:
     """The lists of each lifted vector: the nearest, and at boundaries others that no chosen one hides."""
-    ids, d = graph.search(x, 4 * REPLICAS)
+    ids, d = graph.search(x, WIDTH)
     out = []
     for i, r in zip(ids, d):
         own = [i[0]]
@@ -169,7 +171,7 @@ def fitted(x: np.ndarray, graph: Graph, top: float, k: int, seed: int = 5) -> fl
 def asked(q: np.ndarray, graph: Graph, top: float, sizes: np.ndarray, ratio: float) -> list[np.ndarray]:
     """The lists of each query: those within the ratio, and enough for a full answer."""
     x = raised(q, top)
-    out, width = [None] * len(q), 64
+    out, width = [None] * len(q), WIDTH
     todo = np.arange(len(q))
     while len(todo):
         ids, d = graph.search(x[todo], width)
