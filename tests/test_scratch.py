@@ -46,3 +46,26 @@ def test_a_cluster_has_to_name_its_folder():
         scratch.folder(Session)
     Cluster.master = "local[2, 4]"
     assert scratch.folder(Session).startswith("file://")
+
+
+def test_no_shuffle_files_stay(spark):
+    """What a table shuffled is deleted once it is written, not when the driver collects its garbage."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    own = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jvm = spark.sparkContext._jvm
+
+    def files() -> set[str]:
+        found = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, conf = files(), spark.conf.get(own, None)
+    table = scratch.table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    wait = time.time() + 10
+    while files() - before and time.time() < wait:
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == 7 and spark.conf.get(own, None) == conf
+    scratch.drop(table)

@@ -384,14 +384,20 @@ def _removed(packed: DataFrame, kind: str, seed: int, part: int, collection: int
     new = ~((F.lag("rid0").over(run) == F.col("rid0")) & (F.lag("by").over(run) == F.col("by")) & (F.lag("e").over(run) >= F.col("s")))
     cut = whole.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     runs = cut.groupBy("rid", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("rid0").alias("rid0"), F.min("by").alias("by"))
-    asked = runs.select("rid0", "rid", "s", "e", (F.col("s") + F.col("by")).alias("s0"))
+    asked = scratch.table(runs.select("rid0", "rid", "s", "e", (F.col("s") + F.col("by")).alias("s0")), "runs")
+    scratch.drop(groups)
     sent = packed.select(F.col("rid").alias("rid0"), "z").join(asked, "rid0").select("rid0", "z", "rid", "s", "e", "s0").mapInArrow(_sent, "rid bigint, s bigint, e bigint, t binary")
 
     every = sent.unionByName(own.filter("not open").select("rid", "s", "e").unionByName(late).withColumn("t", F.lit(None).cast("binary")))
+    every = scratch.table(every.hint("rebalance"), "stretches")  # texts are dealt by two keys, one after the other
+    scratch.drop(asked)
+    scratch.drop(own)
     stretches = every.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "t")).alias("found"))
     full = packed.join(stretches, "rid", "left").select("doc_id", "z", "found")
     done = full.mapInArrow(_kept, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, same_ boolean")
-    return scratch.table(done.hint("rebalance"), "kept")  # a short row a text: few files
+    done = scratch.table(done.hint("rebalance"), "kept")  # a short row a text: few files
+    scratch.drop(every)
+    return done
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
