@@ -85,6 +85,21 @@ def test_near_duplicates_of_one_text(spark):
     assert {r["component_id"] for r in rows(simhash.near_duplicates(docs))} == {0}
 
 
+def test_near_duplicates_beyond_ends(spark, monkeypatch):
+    """Values that many share, most of whose pairs meet through nothing else: no link is lost there."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(30):  # the ends of a value are of few of these groups
+        own = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(2):
+            at = rng.randrange(200)
+            texts.append(" ".join([*own[:at], f"z{rng.random()}", *own[at + 1 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "plan", lambda rows, similarity: (1, 2))  # two values: all share them
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs))}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("segments", [1, 2, 4])
 def test_links(spark, segments):
     rng = random.Random(5)

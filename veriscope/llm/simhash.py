@@ -16,8 +16,10 @@ which 64 bits are too few for: fingerprints have ``WIDE`` bits, a pair at that s
 a hundred, and no cut into segments keeps such a pair within a small ball of one for certain.  So there are
 as many segments as make a miss unlikely (``MISS``), their width grows with the logarithm of the number of
 documents, balls have radius one, and the complete distance decides.  A segment value that more than
-``HOT`` fingerprints share is linked through four of them, so a large group of near copies makes no square
-of pairs; its members meet through the other segments as well.
+``HOT`` fingerprints share is first linked through four of them, so a large group of near copies makes no square
+of pairs.  The rest of its pairs are compared as well, as far as they lie in different groups by then: no other
+pair can change a component.  Of pairs that their sets decide, the closest between two groups go first, and
+then all that still lie in different groups.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text
 with fewer words than a shingle is one shingle; repeated rows are returned each; a null doc_id is
@@ -42,7 +44,7 @@ SEGMENTS = 2
 SEED = 42
 #: Bits of a wide fingerprint, its shingles' words, the similarity it is for, and the chance to miss a pair at that similarity.
 WIDE, WIDE_SHINGLE, SIMILARITY, MISS = 1024, 5, 0.8, 0.02
-#: Fingerprints that share a segment value and are compared each with each.
+#: Fingerprints that share a segment value and are compared each with each, whatever groups they are in.
 HOT = 4
 #: Standard deviations around the bits that differ at the similarity within which sets decide, and the same for the first 128 bits.
 SLACK, SLACK_128 = 2, 3.25
@@ -212,14 +214,22 @@ def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
     return np.stack([bits[:, a].astype(np.int64) @ power | np.int64(s) << np.int64(width) for s, a in enumerate(at.reshape(segments, width))], axis=1)
 
 
-def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
-    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first two words but for ``most``."""
-    own = ("id", "x", "y")
-    table = fps.select(*own, F.explode("keys").alias("key"))
+def _probes(table: DataFrame, own: tuple[str, ...], width: int) -> DataFrame:
+    """The columns ``own`` with a p before their names, and each key that a row looks up: its own (same) and those a bit away."""
     masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
     # of two values that differ in a bit, the one that has it looks up the other
     ball = F.filter(F.transform(masks, lambda m: F.struct((m == 0).alias("same"), F.when((m == 0) | (F.col("key").bitwiseAND(m) != 0), F.col("key").bitwiseXOR(m)).alias("v"))), lambda e: e["v"].isNotNull())
-    probes = table.select(*own, F.explode(ball).alias("e")).select(*[F.col(c).alias(f"p{c}") for c in own], "e.same", F.col("e.v").alias("key"))
+    return table.select(*own, F.explode(ball).alias("e")).select(*[F.col(c).alias(f"p{c}") for c in own], "e.same", F.col("e.v").alias("key"))
+
+
+def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
+    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first two words but for ``most``.
+
+    Where more than ``HOT`` share a value, only pairs with one of its ends: :func:`_across` has the others.
+    """
+    own = ("id", "x", "y")
+    table = fps.select(*own, F.explode("keys").alias("key"))
+    probes = _probes(table, own, width)
     some = F.struct(*own)
     ends = F.array_distinct(F.array(F.min(some), F.max(some), F.min_by(some, "x"), F.max_by(some, "x"))).alias("ends")
     crowded = table.groupBy("key").agg(F.count("*").alias("n"), ends).filter(F.col("n") > HOT).select("key", "ends")
@@ -230,6 +240,33 @@ def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
     return cold.select("pid", "id").unionByName(hot.select("pid", "id")).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
+def _across(fps: DataFrame, group: DataFrame, width: int, most: int, most_128: int) -> DataFrame:
+    """a, b and d (at most ``most``) of the pairs that values shared by more than ``HOT`` fingerprints propose, of those in different groups.
+
+    ``fps`` has id, x, y, keys and w (all words), ``group`` fp (an id) and component_id.  Groups meet before their
+    members do, so members of one group make no pairs.
+    """
+    named = scratch.table(fps.join(group.withColumnRenamed("fp", "id"), "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id"), "grouped")
+    entries = named.select("id", "c", F.explode("keys").alias("key"))
+    crowded = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("n") > HOT).drop("n")
+    crowded = small(scratch.table(crowded, "crowded"))
+    asks = _probes(entries, ("id", "c"), width).join(crowded, "key").filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("pc"))).drop("lo", "hi")
+    asks = scratch.table(asks, "asks")
+    has = scratch.table(entries.join(asks.select("key").distinct(), "key", "left_semi"), "has")
+    ordered = (F.col("pc") != F.col("c")) & (~F.col("same") | (F.col("pc") < F.col("c")))
+    meet = asks.select("key", "same", "pc").distinct().join(has.select("key", "c").distinct(), "key").filter(ordered)
+    words = lambda p: named.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x", "y", "w")])
+    left = meet.join(asks, ["key", "same", "pc"]).select("key", "c", "pid").join(words("p"), "pid")
+    right = has.join(words("").drop("c"), "id").select("key", "c", "id", "x", "y", "w")
+    close = _far(F.col("px"), F.col("x")) + _far(F.col("py"), F.col("y")) <= most_128
+    met = left.join(right, ["key", "c"]).filter(close & (_distance("pw", "w") <= most))
+    return met.select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b"), _distance("pw", "w").alias("d")).distinct()
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: _far(u, v)), F.lit(0), lambda s, n: s + n)
+
+
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row: texts whose shingles have about this similarity or more are linked."""
     import pyarrow as pa
@@ -257,15 +294,32 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     word = lambda c: F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
     full = fps.select("id", word(F.col("fp")).alias("w"))
     met = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    distance = F.aggregate(F.zip_with("wa", "wb", lambda u, v: _far(u, v)), F.lit(0), lambda s, n: s + n)
-    near = scratch.table(met.select("a", "b", distance.alias("d")).filter(F.col("d") <= most), "near")
+    near = scratch.table(met.select("a", "b", _distance("wa", "wb").alias("d")).filter(F.col("d") <= most), "near")
+    label = fps.select(F.col("id").alias("fp"), F.col("id").alias("doc_id"))
+    group = scratch.table(components(near.filter(F.col("d") <= least).select("a", "b"), label), "groups")
     sure = near.filter(F.col("d") <= least).select("a", "b")
-    group = scratch.table(components(sure, fps.select(F.col("id").alias("fp"), F.col("id").alias("doc_id"))), "groups")
-    of = lambda c: group.select(F.col("fp").alias(c), F.col("component_id").alias(f"c{c}"))
-    unsure = near.filter(F.col("d") > least).join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"})
-    closest = unsure.filter("ca != cb").groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
-    found = scratch.table(sure.unionByName(_similar(scratch.table(closest, "closest"), fps, texts, shingle, similarity)), "links")
-    named = fps.join(components(found, fps.select(F.col("id").alias("fp"), "doc_id")).withColumnRenamed("fp", "id"), "id", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    def apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different groups, with these."""
+        of = lambda c: group.select(F.col("fp").alias(c), F.col("component_id").alias(f"c{c}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"}).filter("ca != cb")
+
+    closest = apart(near.filter(F.col("d") > least), group).groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
+    closest = scratch.table(closest, "closest")
+    found = scratch.table(sure.unionByName(_similar(closest, fps, texts, shingle, similarity)), "links")
+    group = scratch.table(components(found, label), "groups")
+    # all that is still apart: what other pairs of the values that many share, and the less close ones, link
+    wide = fps.select("id", "x", "y", "keys", word(F.col("fp")).alias("w"))
+    across = scratch.table(_across(wide, group, width, most, most_128), "across")
+    unsure = near.unionByName(across).filter(F.col("d") > least).select("a", "b").distinct().join(closest, ["a", "b"], "left_anti")
+    rest = scratch.table(apart(unsure, group).select("a", "b"), "rest")
+    more = across.filter(F.col("d") <= least).select("a", "b").unionByName(_similar(rest, fps, texts, shingle, similarity))
+    more = scratch.table(apart(more, group).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    own = fps.join(group.withColumnRenamed("fp", "id"), "id", "left").select("fp", "doc_id", F.coalesce("component_id", "id").alias("c"))
+    if more.limit(1).count():
+        merged = components(more, label).select(F.col("fp").alias("c"), F.col("component_id").alias("m"))
+        own = own.join(merged, "c", "left").select("fp", "doc_id", F.coalesce("m", "c").alias("c"))
+    named = own.join(own.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("fp", "component_id")
     named = scratch.table(named, "components")
     done = scratch.table(every.select("doc_id", "fp").join(named, "fp").select("doc_id", "component_id"), "named")
     scratch.release(keep=done, since=start)
