@@ -100,6 +100,22 @@ def test_near_duplicates_beyond_ends(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_vote_memory():
+    """Counts of many short texts are not held at once."""
+    import tracemalloc
+
+    texts = [f"word {i}" for i in range(10_000)]
+    simhash.vote(texts[:10], words=16)
+    tracemalloc.start()
+    try:
+        got = simhash.vote(texts, words=16)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.shape == (10_000, 16) and most < 40e6
+    assert (got[5000:5003] == simhash.vote(texts[5000:5003], words=16)).all()
+
+
 @pytest.mark.parametrize("segments", [1, 2, 4])
 def test_links(spark, segments):
     rng = random.Random(5)

@@ -50,6 +50,8 @@ HOT = 4
 SLACK, SLACK_128 = 2, 3.25
 #: Shingles that are counted together, for a bit each.
 BLOCK = 1 << 22
+#: Words of fingerprints that are counted at a time: 4 MB of counts, however short the texts.
+VOTES = 1 << 13
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +66,9 @@ def vote(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, words: int
     """
     from xxhash import xxh64_intdigest
 
+    step = max(1, VOTES // words)
+    if len(texts) > step:
+        return np.concatenate([vote(texts[i : i + step], shingle, seed, words) for i in range(0, len(texts), step)])
     ones, total = np.zeros((len(texts), 64 * words), np.int64), np.zeros(len(texts), np.int64)
     more = (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[1:]
     most = BLOCK // (64 * words)
