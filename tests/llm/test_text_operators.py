@@ -332,6 +332,84 @@ def test_brown_further_words(spark):
     assert got[out[0]]["score"] > got[out[1]]["score"] + 20
 
 
+def test_brown_gains_against_plain():
+    """What the move of one word gains is the difference of the likelihoods of all class bigrams."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    word = rng.integers(0, 30, 3000)
+    word[rng.random(3000) < 0.2] = 7  # often beside itself
+    kind, end = rng.integers(0, brown.CLASSES, 30), brown.END_CLASS
+
+    def bigrams(kind):
+        k, total = np.concatenate(([end], kind[word], [end])), np.zeros((brown.ALL_CLASSES,) * 2)
+        np.add.at(total, (k[:-1], k[1:]), 1)
+        return total
+
+    sums = brown._Sums(kind, np.ones(30, bool))
+    sums(word, np.array([len(word)]))
+    w, sides = sums.rest()
+    beside = np.zeros((30, brown.SIDES))
+    for i, packed in zip(w.to_pylist(), sides.to_pylist()):
+        x = np.frombuffer(packed, np.int64)
+        beside[i, x & 255] = x >> 8
+    got, was = brown.gains(beside, kind, bigrams(kind)), brown.likelihood(bigrams(kind))
+    for i in range(30):
+        for k in range(brown.CLASSES):
+            new = kind.copy()
+            new[i] = k
+            assert got[i, k] == pytest.approx(brown.likelihood(bigrams(new)) - was, abs=1e-6)
+
+
+def _pairs_of_words(pairs, times):
+    """Texts in which each word a_i is followed by some b_j and each b_j by some a_i."""
+    import random
+    import zlib
+
+    rng, ids = random.Random(3), [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    a, b = ([f"{x}{i}" for i in range(pairs) for _ in range(times)] for x in "ab")
+    rng.shuffle(a), rng.shuffle(b)
+    both = [w for x in zip(a, b) for w in x]
+    return [(i, " ".join(both[j : j + 40])) for i, j in zip(ids, range(0, len(both), 40))]
+
+
+def test_brown_exchanges_all_words(spark, monkeypatch):
+    """Rounds over all words raise the likelihood of what the 1,500 first and their neighbours' classes give."""
+    import numpy as np
+
+    docs = spark.createDataFrame(_pairs_of_words(1500, 6), "doc_id bigint, text string")
+    counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    texts = [r["text"].split() for r in docs.collect()]
+
+    def likelihood(model):
+        own, total = dict(zip(model.names, model.kind.tolist())), np.zeros((brown.ALL_CLASSES,) * 2)
+        for t in texts:
+            k = [brown.END_CLASS, *(own[w.encode()] for w in t), brown.END_CLASS]
+            np.add.at(total, (k[:-1], k[1:]), 1)
+        return brown.likelihood(total)
+
+    got = likelihood(brown.learn(docs, counts))
+    monkeypatch.setattr(brown, "ROUNDS", 0)
+    assert got > likelihood(brown.learn(docs, counts)) + 100
+
+
+@pytest.mark.parametrize("bound", ["head", "bytes"])
+def test_brown_words_beyond_the_head(spark, monkeypatch, bound):
+    """Words seen often have classes of their own choice whatever goes to the tasks: scores do not depend on it."""
+    docs = spark.createDataFrame([*_pairs_of_words(1500, 6)[:-30], *[(i, "b7 a7 a8 b8 a9 b9 a1499 b1499 unseen") for i in range(9000, 9040)]], "doc_id bigint, text string")
+    docs = docs.withColumn("text", F.regexp_replace("text", r"b(\d*[24])(?= |$)", f"z{'0' * 70}$1"))  # the last of their count, so not among the 1,500 first
+    monkeypatch.setattr(brown, "LONGEST", 1000)
+    want = sorted((r["doc_id"], r["base_score"], r["score"], r["n_known"]) for r in rows(brown.lm_score(docs)))
+    if bound == "head":
+        monkeypatch.setattr(brown._threshold, "__defaults__", (1600,))
+    else:
+        monkeypatch.setattr(brown, "LONGEST", 64)
+    got = sorted((r["doc_id"], r["base_score"], r["score"], r["n_known"]) for r in rows(brown.lm_score(docs)))
+    assert [(r[0], r[3]) for r in got] == [(r[0], r[3]) for r in want]
+    for k in (1, 2):
+        assert [r[k] for r in got] == pytest.approx([r[k] for r in want], rel=1e-9)
+
+
 def test_exchange_raises_likelihood():
     import numpy as np
 
