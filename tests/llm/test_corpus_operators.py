@@ -100,6 +100,35 @@ def test_near_duplicates_beyond_ends(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    """Texts that share a value with many but are like none of them make no pairs; those that are like another meet."""
+    rng, made, table = random.Random(5), [], simhash.scratch.table
+    base = [f"b{k}" for k in range(150)]
+
+    def changed(own, n):
+        own = list(own)
+        for k in rng.sample(range(len(own)), n):
+            own[k] = f"z{rng.random()}"
+        return own
+
+    texts = []
+    for g in range(70):
+        own = changed(base, 12)
+        texts += [" ".join(own)] + [" ".join(changed(own, 1))] * (g < 10)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "plan", lambda rows, similarity: (1, 2))  # two values: all share them
+
+    def counted(df, name="t"):
+        made.append((name, (out := table(df, name)).count()))
+        return out
+
+    monkeypatch.setattr(simhash.scratch, "table", counted)
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs))}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(80)}
+    met = [n for name, n in made if name == "entries"]
+    assert met[0] >= 60 and met[-1] <= 40
+
+
 def test_vote_memory():
     """Counts of many short texts are not held at once."""
     import tracemalloc

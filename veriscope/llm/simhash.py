@@ -15,10 +15,12 @@ one join that adaptive execution can split.
 which 64 bits are too few for: fingerprints have ``WIDE`` bits, a pair at that similarity differs in 15 of
 a hundred, and no cut into segments keeps such a pair within a small ball of one for certain.  So there are
 as many segments as make a miss unlikely (``MISS``), their width grows with the logarithm of the number of
-documents, balls have radius one, and the complete distance decides.  A segment value that more than
+documents, equal values propose a pair, and the complete distance decides.  (Looking up values a bit away as well
+needs a quarter of the segments and three times the rows.)  A segment value that more than
 ``HOT`` fingerprints share is first linked through four of them, so a large group of near copies makes no square
 of pairs.  The rest of its pairs are compared as well, as far as they lie in different groups by then: no other
-pair can change a component.  Of pairs that their sets decide, the closest between two groups go first, and
+pair can change a component.  Where more than ``GROUPS`` groups share a value, texts that cannot be similar to any
+of them do not meet: those with too many shingles that no other text there has.  Of pairs that their sets decide, the closest between two groups go first, and
 then all that still lie in different groups.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; a text
@@ -34,6 +36,7 @@ from math import acos, ceil, log, log2, pi
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriscope import scratch
 from veriscope.llm.texts import documents, lower_ascii, map_texts, small, words
@@ -45,7 +48,9 @@ SEED = 42
 #: Bits of a wide fingerprint, its shingles' words, the similarity it is for, and the chance to miss a pair at that similarity.
 WIDE, WIDE_SHINGLE, SIMILARITY, MISS = 1024, 5, 0.8, 0.02
 #: Fingerprints that share a segment value and are compared each with each, whatever groups they are in.
-HOT = 4
+HOT = 8
+#: Groups that share such a value and all meet, whatever their texts have in common.
+GROUPS = 8
 #: Standard deviations around the bits that differ at the similarity within which sets decide, and the same for the first 128 bits.
 SLACK, SLACK_128 = 2, 3.25
 #: Shingles that are counted together, for a bit each.
@@ -204,9 +209,8 @@ def differing(similarity: float) -> float:
 
 def plan(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
     """The width of a segment and the number of segments: a value has about one of ``rows`` by chance."""
-    width, p = max(16, ceil(log2(max(rows, 2)))), differing(similarity)
-    found = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    return width, ceil(log(miss) / log(1 - found))
+    width = max(16, ceil(log2(max(rows, 2))))
+    return width, ceil(log(miss) / log(1 - (1 - differing(similarity)) ** width))
 
 
 def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
@@ -219,52 +223,71 @@ def keys(prints: np.ndarray, width: int, segments: int) -> np.ndarray:
     return np.stack([bits[:, a].astype(np.int64) @ power | np.int64(s) << np.int64(width) for s, a in enumerate(at.reshape(segments, width))], axis=1)
 
 
-def _probes(table: DataFrame, own: tuple[str, ...], width: int) -> DataFrame:
-    """The columns ``own`` with a p before their names, and each key that a row looks up: its own (same) and those a bit away."""
-    masks = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(width)])
-    # of two values that differ in a bit, the one that has it looks up the other
-    ball = F.filter(F.transform(masks, lambda m: F.struct((m == 0).alias("same"), F.when((m == 0) | (F.col("key").bitwiseAND(m) != 0), F.col("key").bitwiseXOR(m)).alias("v"))), lambda e: e["v"].isNotNull())
-    return table.select(*own, F.explode(ball).alias("e")).select(*[F.col(c).alias(f"p{c}") for c in own], "e.same", F.col("e.v").alias("key"))
+def _keyed(prints: DataFrame, width: int, segments: int) -> DataFrame:
+    """The same (fp first) with the first two words x and y, and the keys of the segments."""
+    schema = StructType([*prints.schema.fields, *StructType.fromDDL("x bigint, y bigint, keys array<bigint>")])
 
+    def run(batches):
+        import pyarrow as pa
 
-def _candidates(fps: DataFrame, width: int, most: int) -> DataFrame:
-    """Pairs a, b of ids whose fingerprints agree in a segment but for one bit, and in the first two words but for ``most``.
+        for b in batches:
+            own = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64).reshape(b.num_rows, -1)
+            offsets = np.arange(0, b.num_rows * segments + 1, segments, dtype=np.int32)
+            own_keys = pa.ListArray.from_arrays(offsets, pa.array(keys(own, width, segments).ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own[:, 0]), pa.array(own[:, 1]), own_keys], names=schema.names)
 
-    Where more than ``HOT`` share a value, only pairs with one of its ends: :func:`_across` has the others.
+    return prints.mapInArrow(run, schema)
+
+
+def _candidates(fps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b of ids whose fingerprints agree in a segment, and in the first two words but for ``most``.
+
+    Where more than ``HOT`` share a value, only pairs with one of its ends: :func:`_across` has the others.  The keys
+    of these values are returned beside the pairs.
     """
     own = ("id", "x", "y")
     table = fps.select(*own, F.explode("keys").alias("key"))
-    probes = _probes(table, own, width)
-    some = F.struct(*own)
-    ends = F.array_distinct(F.array(F.min(some), F.max(some), F.min_by(some, "x"), F.max_by(some, "x"))).alias("ends")
-    crowded = table.groupBy("key").agg(F.count("*").alias("n"), ends).filter(F.col("n") > HOT).select("key", "ends")
-    probes = probes.join(crowded, "key", "left")
-    near = (F.col("pid") != F.col("id")) & (_far(F.col("px"), F.col("x")) + _far(F.col("py"), F.col("y")) <= most)
-    cold = probes.filter("ends is null").drop("ends").join(table, "key").filter(near & (~F.col("same") | (F.col("pid") < F.col("id"))))
-    hot = probes.filter("ends is not null and same").select("pid", "px", "py", F.explode("ends").alias("t")).select("pid", "px", "py", "t.*").filter(near)
-    return cold.select("pid", "id").unionByName(hot.select("pid", "id")).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
-
-
-def _across(fps: DataFrame, group: DataFrame, width: int, most: int, most_128: int) -> DataFrame:
-    """a, b and d (at most ``most``) of the pairs that values shared by more than ``HOT`` fingerprints propose, of those in different groups.
-
-    ``fps`` has id, x, y, keys and w (all words), ``group`` fp (an id) and component_id.  Groups meet before their
-    members do, so members of one group make no pairs.
+    crowded = small(scratch.table(table.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "crowded"))
+    near = (_far(F.col("p.x"), F.col("t.x")) + _far(F.col("p.y"), F.col("t.y"))) <= most
+    alone = table.join(crowded, "key", "left_anti")
+    cold = alone.alias("p").join(alone.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.id") < F.col("t.id")) & near)
+    shared, some = table.join(crowded, "key", "left_semi"), F.struct(*own)
+    ends = shared.groupBy("key").agg(F.array_distinct(F.array(F.min(some), F.max(some), F.min_by(some, "x"), F.max_by(some, "x"))).alias("ends"))
+    hot = shared.join(ends, "key").select(F.struct(*own).alias("p"), F.explode("ends").alias("t")).filter((F.col("p.id") != F.col("t.id")) & near)
+    a, b = F.col("p.id"), F.col("t.id")
+    return cold.select(a.alias("a"), b.alias("b")).unionByName(hot.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).distinct(), crowded
+
+
+def _across(fps: DataFrame, texts: DataFrame, crowded: DataFrame, group: DataFrame, most: int, most_128: int, shingle: int, similarity: float) -> DataFrame:
+    """a, b and d (at most ``most``) of the pairs that the values of ``crowded`` propose, of those in different groups.
+
+    ``fps`` has id, h, x, y, keys and w (all words), ``group`` fp (an id) and component_id.  Groups meet before their
+    members do, so members of one group make no pairs.  Of the texts of values that more than ``GROUPS`` share, those
+    that have too few shingles in common with all others of them do not meet these: they are similar to none.
     """
-    named = scratch.table(fps.join(group.withColumnRenamed("fp", "id"), "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id"), "grouped")
-    entries = named.select("id", "c", F.explode("keys").alias("key"))
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("n") > HOT).drop("n")
-    crowded = small(scratch.table(crowded, "crowded"))
-    asks = _probes(entries, ("id", "c"), width).join(crowded, "key").filter((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("pc"))).drop("lo", "hi")
-    asks = scratch.table(asks, "asks")
-    has = scratch.table(entries.join(asks.select("key").distinct(), "key", "left_semi"), "has")
-    ordered = (F.col("pc") != F.col("c")) & (~F.col("same") | (F.col("pc") < F.col("c")))
-    meet = asks.select("key", "same", "pc").distinct().join(has.select("key", "c").distinct(), "key").filter(ordered)
-    words = lambda p: named.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x", "y", "w")])
-    left = meet.join(asks, ["key", "same", "pc"]).select("key", "c", "pid").join(words("p"), "pid")
-    right = has.join(words("").drop("c"), "id").select("key", "c", "id", "x", "y", "w")
+    entries = fps.select("id", F.explode("keys").alias("key")).join(crowded, "key", "left_semi")
+    entries = scratch.table(entries.join(group.withColumnRenamed("fp", "id"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "entries")
+    several = entries.select("key", "c").distinct().groupBy("key").agg(F.count("*").alias("g")).filter("g > 1")
+    entries = scratch.table(entries.join(small(scratch.table(several, "several")), "key"), "several")
+    asked = scratch.table(entries.filter(F.col("g") > GROUPS).select("id").distinct(), "many")
+    sets = _sets(asked, fps, texts, shingle).select("id", F.size("s").alias("n"), "s")
+    alone = sets.select("id", F.explode("s").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi")
+    # of how many shingles each text has, how many another has too; far: 1, or 2 if too few for a similarity to any of them
+    known = sets.drop("s").join(alone.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("k", F.lit(0))).alias("o"))
+    known = scratch.table(known.withColumn("far", F.when(F.col("o") < similarity * F.col("n") - 1e-9, 2).otherwise(1)), "known")
+    entries = entries.join(small(known).select("id", "far"), "id", "left").withColumn("far", F.coalesce("far", F.lit(0)))
+    entries = scratch.table(entries.filter((F.col("g") <= GROUPS) | (F.col("far") < 2)).select("key", "id", "c", "far"), "entries")
+    ids = scratch.table(entries.select("id").distinct(), "ids")
+    words = fps.join(small(ids), "id", "left_semi").select("id", "x", "y", "w")
+    words = scratch.table(words.join(small(known).select("id", "n", "o"), "id", "left"), "words")
+    classes = entries.select("key", "c", "far").distinct()
+    meet = classes.withColumnsRenamed({"c": "pc", "far": "pfar"}).join(classes, "key").filter("pc < c and pfar * far < 2")
+    left = meet.join(entries.withColumnsRenamed({"id": "pid", "c": "pc", "far": "pfar"}), ["key", "pc", "pfar"])
+    left = left.join(words.withColumnsRenamed({c: f"p{c}" for c in words.columns}), "pid").select("key", "c", "far", "pid", "px", "py", "pw", "pn", "po")
+    right = entries.join(words, "id")
     close = _far(F.col("px"), F.col("x")) + _far(F.col("py"), F.col("y")) <= most_128
-    met = left.join(right, ["key", "c"]).filter(close & (_distance("pw", "w") <= most))
+    may = F.coalesce(F.least("po", "o") * (1 + similarity) >= similarity * (F.col("pn") + F.col("n")) - 1e-9, F.lit(True))
+    met = left.join(right, ["key", "c", "far"]).filter(close & may & (_distance("pw", "w") <= most))
     return met.select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b"), _distance("pw", "w").alias("d")).distinct()
 
 
@@ -282,20 +305,15 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     least, most, most_128 = (int(n * p + k * (n * p * (1 - p)) ** 0.5) for n, k in ((WIDE, -SLACK), (WIDE, SLACK), (128, SLACK_128)))
 
     def make():
-        def run(texts):
-            own = vote(texts, shingle, words=longs)
-            own_keys = keys(own, width, segments)
-            offsets = np.arange(0, own_keys.size + 1, segments, dtype=np.int32)
-            return [pa.array([r.tobytes() for r in own], pa.binary()), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(own_keys.ravel()))]
-
-        return run
+        return lambda texts: [pa.array([r.tobytes() for r in vote(texts, shingle, words=longs)], pa.binary())]
 
     start = scratch.mark()
     texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).select("doc_id", "t", F.md5(F.col("t").cast("binary")).alias("h"))
-    every = map_texts(texts, make, "fp binary, x bigint, y bigint, keys array<bigint>", keep=["doc_id", "h"], text_col="t")
+    every = map_texts(texts, make, "fp binary", keep=["doc_id", "h"], text_col="t")
     every = scratch.table(every.withColumn("id", F.monotonically_increasing_id()), "wide")
-    fps = scratch.table(every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("h").alias("h"), F.min("keys").alias("keys")), "distinct")
-    pairs = _candidates(fps, width, most_128)
+    fps = every.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.min("h").alias("h"))
+    fps = scratch.table(_keyed(fps, width, segments), "distinct")
+    pairs, crowded = _candidates(fps, most_128)
     word = lambda c: F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda i: F.conv(F.hex(F.substring(c, i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
     full = fps.select("id", word(F.col("fp")).alias("w"))
     met = pairs.join(full.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(full.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
@@ -314,8 +332,8 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     found = scratch.table(sure.unionByName(_similar(closest, fps, texts, shingle, similarity)), "links")
     group = scratch.table(components(found, label), "groups")
     # all that is still apart: what other pairs of the values that many share, and the less close ones, link
-    wide = fps.select("id", "x", "y", "keys", word(F.col("fp")).alias("w"))
-    across = scratch.table(_across(wide, group, width, most, most_128), "across")
+    wide = fps.select("id", "h", "x", "y", "keys", word(F.col("fp")).alias("w"))
+    across = scratch.table(_across(wide, texts, crowded, group, most, most_128, shingle, similarity), "across")
     unsure = near.unionByName(across).filter(F.col("d") > least).select("a", "b").distinct().join(closest, ["a", "b"], "left_anti")
     rest = scratch.table(apart(unsure, group).select("a", "b"), "rest")
     more = across.filter(F.col("d") <= least).select("a", "b").unionByName(_similar(rest, fps, texts, shingle, similarity))
@@ -331,17 +349,21 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", shingle: int = W
     return done
 
 
-def _similar(pairs: DataFrame, fps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b of ids whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``.
+def _sets(ids: DataFrame, fps: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """id and s, the hashes of the text's shingles, of each of ``ids``.
 
-    Texts are found by their MD5; those of the pairs are few where near copies are.
+    Texts are found by their MD5; those that are asked for are few where near copies are.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = scratch.table(fps.join(ids, "id", "left_semi").select("id", "h"), "asked")
     met = texts.join(small(asked.select("h").distinct(), asked.count()), "h", "left_semi").select("h", words(lower_ascii(F.col("t"))).alias("w"))
     own = asked.join(met.groupBy("h").agg(F.min("w").alias("w")), "h")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - shingle + 1, F.lit(1)))
-    sets = own.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(shingle))))).alias("s"))
+    return own.select("id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(shingle))))).alias("s"))
+
+
+def _similar(pairs: DataFrame, fps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b of ids whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), fps, texts, shingle)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
