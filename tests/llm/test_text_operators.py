@@ -315,6 +315,18 @@ def test_brown_tail(small, monkeypatch):
         assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-9)
 
 
+def test_brown_word_counts(spark, hard, small, monkeypatch):
+    """Counts of words by task against those by DataFrame functions, with words written out many times."""
+    from veriscope.llm.texts import lower_ascii, words
+
+    monkeypatch.setattr(brown, "COUNTED", 50)
+    texts = small.select("text").unionByName(hard.select("text"))
+    want = texts.select(F.explode(words(lower_ascii(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    got = brown.word_counts(texts)
+    assert got.schema["c"].dataType == want.schema["c"].dataType
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == want.count() > 1000
+
+
 def test_brown_further_words(spark):
     """Words beyond those of the exchange have classes: the order that the training texts have scores higher."""
     import random

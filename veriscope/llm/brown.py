@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope import scratch
-from veriscope.llm.texts import documents, fold, lower_ascii, map_texts, words
+from veriscope.llm.texts import documents, fold, map_texts
 
 #: Words whose counts go to every task, and the most bytes of such a word: 32 MB at most.
 HEAD, LONGEST = 500_000, 64
@@ -54,6 +54,8 @@ PASS = 1 << 18
 SIDES = 2 * ALL_CLASSES + 1
 #: Words whose sums a task holds in one array, and sums of other words that it holds before it writes them.
 DENSE, HELD = 1 << 12, 1 << 19
+#: Distinct words that a task counts before it writes their counts.
+COUNTED = 1 << 18
 _MARK = re.compile(rb"[!-@\[-`{-~]")
 _JAVA_MARK = r"[!-@\x5B-`{-~]"
 
@@ -79,6 +81,28 @@ def tokens(texts: list[str], index: dict[bytes, int]) -> tuple[np.ndarray, np.nd
     return ids, n, [flat[i] for i in other.tolist()]
 
 
+def word_counts(train: DataFrame) -> DataFrame:
+    """w and c: the words of the texts (column text) and how often they occur."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update((t or "").encode().lower().split())
+                if len(seen) > COUNTED:
+                    yield _counted(pa, seen)
+                    seen = Counter()
+        yield _counted(pa, seen)
+
+    return train.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
+
+
+def _counted(pa, seen: Counter):
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+
+
 def _units(codes: np.ndarray, n: np.ndarray, unit: np.ndarray, first: int, end_unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units (or classes; forms from ``first``) of the texts, an end after each; each text's first place, each word's place."""
     own = first + (-1 - codes) % FORMS
@@ -380,8 +404,7 @@ def lm_score(docs: DataFrame, *, held_out: int = 1, folds: int = 5, text_col: st
     out_col = F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     source = docs.select("doc_id", F.col(text_col).alias("text"), out_col.alias("held_out"))
     train = source.filter(~F.col("held_out"))
-    counts = train.select(F.explode(words(lower_ascii(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    counts = scratch.table(counts, "counts")
+    counts = scratch.table(word_counts(train), "counts")
     top = head(counts)
     every, tail = coded(source, counts, top, ["doc_id", "held_out"])
     m = fit(every.filter(~F.col("held_out")), tail, top)
