@@ -175,6 +175,39 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(ids, 941), 100: 899, 101: 899}
 
 
+def join_rows(spark, run):
+    """What ``run()`` returns, and the rows that all joins made meanwhile, by Spark's own metrics."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    start, made = store.executionsList().size(), 0
+    out = run()
+    bus.waitUntilEmpty()
+    ran = store.executionsList()
+    for e in (ran.apply(i).executionId() for i in range(start, ran.size())):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = (node.metrics().apply(i) for i in range(node.metrics().size() if "Join" in node.name() else 0))
+            own = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            made += sum(int(v.get().replace(",", "")) for v in own if v.isDefined())
+    return out, made
+
+
+@pytest.mark.parametrize("links", ["all", "ends"])
+def test_components_of_a_large_group(spark, links):
+    """A link is joined until its ends are in one tree, not in each round up to the last."""
+    rng = random.Random(9)
+    if links == "all":
+        n, pairs = 150, [(i, j) for j in range(150) for i in range(j)]
+    else:  # most links are with a few ends, which few others share
+        n, pairs = 1510, [(i, h) for i in range(1500) for h in rng.sample(range(1500, 1510), 6)]
+    rows = spark.createDataFrame([*pairs, (5000, 5001), (5001, 5001)], "a bigint, b bigint")
+    label = spark.createDataFrame([(i, 9000 - i if i % 3 else None) for i in [*range(n), 5000, 5001, 6000]], "fp bigint, doc_id bigint")
+    got, made = join_rows(spark, lambda: {r["fp"]: r["component_id"] for r in simhash.components(rows, label).collect()})
+    least = min(9000 - i for i in range(n) if i % 3)
+    assert got == {**dict.fromkeys(range(n), least), 5000: 4000, 5001: 4000}
+    assert made <= 2.5 * len(pairs)
+
+
 def check_repeats(docs, **how):
     """Rows in the order of ids, those without one first, and of equal ids in the order of the table."""
     text = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]

@@ -7,8 +7,8 @@ a small Hamming ball around each of its own; what is fetched is verified on all
 segment value is shared by more fingerprints than a whole ball has members, the looked-up ball is
 drawn over all bits instead, so no bucket is compared all against all and no link is lost.
 
-Linked fingerprints get the label of their component by min-label hooking with pointer jumping;
-each round is a written table.  Rows with one fingerprint meet only in partial aggregates and in
+Linked fingerprints get the label of their component by hooking to the least neighbour, pointer jumping and
+contraction: each round goes on with the links between different roots alone, as written tables.  Rows with one fingerprint meet only in partial aggregates and in
 one join that adaptive execution can split.
 
 :func:`near_duplicates` does the same for a similarity of texts, by default 0.8 of five-word shingles,
@@ -170,25 +170,46 @@ def components(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """For each node of ``pairs`` (a, b: long) the least label within reach.
 
     ``label`` has columns fp and doc_id for each node at least.  Returns fp and component_id.  Each
-    round takes the least label of the neighbours, offers it to the node that the own label stands
-    for, and jumps to that node's label; its table is written, so a lost executor costs one round.
+    round hooks every node to its least neighbour, jumps pointers until all name the root of their tree,
+    and goes on with the links between different roots, each once: half the nodes at most.  So a link is joined
+    in the rounds in which its ends are still apart, not in all of them.  Tables are written, so a lost executor costs one step.
     """
-    edges = scratch.table(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("fp").alias("f"))
-    now = scratch.table(label.join(edges.select(F.col("u").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("u"), first.alias("l")), "labels")
-    while True:
-        least = edges.join(now.select(F.col("u").alias("v"), F.col("l").alias("o")), "v").groupBy("u").agg(F.min("o").alias("o"))
-        offer = now.join(least, "u")
-        offer = offer.select("u", "o").unionByName(offer.select(F.col("l.f").alias("u"), "o")).groupBy("u").agg(F.min("o").alias("o"))
-        hooked = scratch.table(now.join(offer, "u", "left").select("u", "l", F.least("l", "o").alias("h")), "hooked")
-        after = scratch.table(hooked.join(hooked.select(F.col("u").alias("r"), F.col("h").alias("j")), F.col("h.f") == F.col("r")).select("u", F.col("j").alias("l"), (F.col("l") != F.col("j")).alias("moved")), "labels")
-        scratch.drop(hooked)
-        scratch.drop(now)
-        now = after
-        if not now.filter("moved").limit(1).count():
-            break
+    edges, roots = scratch.table(pairs.select("a", "b").filter("a != b"), "edges"), None
+    while roots is None or edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = scratch.table(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("r")), "least")
+        # hooks to the least neighbour make no cycle but of two nodes, of which the lesser is the root
+        now = scratch.table(_jumped(least).select("u", F.when(F.col("j") == F.col("u"), F.least("u", "r")).otherwise(F.col("j")).alias("r")), "hooked")
+        scratch.drop(least)
+        while True:
+            after = scratch.table(_jumped(now).select("u", F.col("j").alias("r"), (F.col("r") != F.col("j")).alias("moved")), "hooked")
+            scratch.drop(now)
+            now = after.drop("moved")
+            now.scratch_path = after.scratch_path
+            if not after.filter("moved").limit(1).count():
+                break
+        of = lambda c: now.select(F.col("u").alias(c), F.col("r").alias(f"r{c}"))
+        left = edges.join(of("a"), "a").join(of("b"), "b").filter("ra != rb")
+        left = scratch.table(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        scratch.drop(edges)
+        edges = left
+        if roots is None:
+            roots = now
+        else:
+            named = roots.join(now.select(F.col("u").alias("r"), F.col("r").alias("s")), "r", "left")
+            named = scratch.table(named.select("u", F.coalesce("s", "r").alias("r")), "roots")
+            scratch.drop(roots)
+            scratch.drop(now)
+            roots = named
     scratch.drop(edges)
-    return now.select(F.col("u").alias("fp"), F.col("l.d").alias("component_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
+    names = roots.join(label.select(F.col("fp").alias("u"), first.alias("l")), "u").groupBy("r").agg(F.min("l").alias("l"))
+    return roots.join(names, "r").select(F.col("u").alias("fp"), F.col("l.d").alias("component_id"))
+
+
+def _jumped(hooks: DataFrame) -> DataFrame:
+    """The hooks u to r, and what r is hooked to (j)."""
+    return hooks.join(hooks.select(F.col("u").alias("r"), F.col("r").alias("j")), "r").select("u", "r", "j")
 
 
 def simhash(docs: DataFrame, *, text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
