@@ -59,6 +59,13 @@ def test_integers(spark):
     assert values(spark, [400], "bigint", Q.both_truncatable_primes) == [both]
 
 
+def test_truncatable_primes_by_growth(spark):
+    # more numbers below them than can be tried one by one
+    left = values(spark, [10**12, None, 9 * 10**18, 2, 3], "bigint", Q.left_truncatable_primes)
+    assert left[1] is None and left[3:] == [[], [2]] and left[2][: len(left[0])] == left[0] and len(left[2]) == 4241
+    assert all(PRIME(n) and "0" not in str(n) for n in left[0][::20]) and 357686312646216567629137 % 10**12 in left[0]
+
+
 def test_strings(spark):
     ss = ["", "a", "Abba", "racecar level", "hello World", "aab", "ABCabc123"]
     pal = lambda s, k: sorted({s[i : i + k] for i in range(len(s) - k + 1) if s[i : i + k].lower() == s[i : i + k].lower()[::-1] and s[i : i + k].isalpha()})

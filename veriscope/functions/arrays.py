@@ -2,7 +2,8 @@
 
 Positions are zero-based and ranges are inclusive unless a name says otherwise; a range may end past
 the array.  What has no answer is null.  Sets are returned as sorted arrays without repeats.  Only the
-functions under "in Python" leave the JVM: their results are not bounded by a fold over the input.
+functions under "in Python" leave the JVM: their results are not bounded by a fold over the input, or
+are found once for all rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,29 +191,6 @@ def composites_between(l, a, b):
     return _set(F.filter(_sl(l, a, b), is_composite))
 
 
-def _truncatable(n: Column, inclusive: bool, cut, descending: bool) -> Column:
-    top = n if inclusive else n - 1
-
-    def good(i: Column) -> Column:
-        s = i.cast("string")
-        return ~s.contains("0") & F.forall(F.sequence(F.lit(0), F.length(s) - 1), lambda k: F.when(cut(s, k) == "", F.lit(True)).otherwise(is_prime(F.coalesce(F.nullif(cut(s, k), F.lit("")), F.lit("2")).cast("bigint"))))
-
-    found = F.when(top < 2, F.array().cast("array<bigint>")).otherwise(F.filter(F.sequence(F.lit(2).cast("bigint"), F.greatest(top, F.lit(2)).cast("bigint")), good))
-    return F.reverse(found) if descending else found
-
-
-def right_truncatable_primes(n, descending=False):
-    return _truncatable(n, False, lambda s, k: F.substring(s, F.lit(1), F.length(s) - k), descending)
-
-
-def left_truncatable_primes(n, descending=False):
-    return _truncatable(n, False, lambda s, k: F.substring(s, k + 1, F.length(s)), descending)
-
-
-def both_truncatable_primes(n, descending=False):
-    return _truncatable(n, True, lambda s, k: F.substring(s, k + 1, F.greatest(F.length(s) - 2 * k, F.lit(0))), descending)
-
-
 def missing_as_text(l, a, b):
     """Sum of the integers that the elements between two positions leave out of their span: binary
     if odd, hexadecimal if even, empty if none is missing."""
@@ -365,6 +346,63 @@ def count_submatrices_of_size(m, k):
 # in Python
 
 
+def _witnessed(n: int) -> bool:
+    """Whether n is prime: Miller and Rabin's test, which these bases decide below 3.3e24."""
+    bases = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
+    if n < 2 or any(n % p == 0 for p in bases):
+        return n in bases
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    return all(pow(a, odd, n) == 1 or any(pow(a, odd << i, n) == n - 1 for i in range(twos)) for a in bases)
+
+
+@lru_cache(None)
+def _grown(ends: str, digits: int) -> np.ndarray:
+    """Truncatable primes of so many digits, none of them 0, grown from those that are left when one digit of each of ``ends`` is cut."""
+    left, right = "left" in ends, "right" in ends
+    if digits <= left + right:
+        return np.array([n for n in range(10 ** (digits - 1), 10**digits) if "0" not in str(n) and _witnessed(n)], "int64")
+    inner = _grown(ends, digits - left - right).tolist()
+    heads = [a * 10 ** (digits - 1) for a in range(1, 10)] if left else [0]
+    tails = [1, 3, 7, 9] if right else [0]
+    shift = 10 if right else 1
+    return np.array(sorted(n for a in heads for x in inner for z in tails if (n := a + x * shift + z) < 2**63 and _witnessed(n)), "int64")
+
+
+@lru_cache(None)
+def _truncatable_below(ends: str, digits: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "int64"), *(_grown(ends, k) for k in range(1, digits + 1))])
+
+
+def _truncatable(n: Column, ends: str, inclusive: bool, descending: bool) -> Column:
+    """The primes are found once a worker, up to the digits of the greatest n; a row takes those up to its own."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(ns: pa.Array) -> pa.Array:
+        top = pc.max(ns).as_py() or 0
+        primes = _truncatable_below(ends, len(str(top)) if top > 1 else 0)
+        upto = np.searchsorted(primes, ns.fill_null(0).to_numpy(zero_copy_only=False), "right" if inclusive else "left")
+        starts = np.concatenate([[0], np.cumsum(upto)])
+        at = np.arange(starts[-1]) - np.repeat(starts[:-1], upto)
+        found = primes[np.repeat(upto, upto) - 1 - at if descending else at]
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found), mask=ns.is_null())
+
+    return run(n.cast("bigint"))
+
+
+def right_truncatable_primes(n, descending=False):
+    return _truncatable(n, "right", False, descending)
+
+
+def left_truncatable_primes(n, descending=False):
+    return _truncatable(n, "left", False, descending)
+
+
+def both_truncatable_primes(n, descending=False):
+    return _truncatable(n, "left right", True, descending)
+
+
 def _arrangements(letters: str, least: int) -> list[str]:
     """Distinct palindromes (case aside) that some of the letters make, grown from the outside in."""
 
