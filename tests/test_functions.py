@@ -66,6 +66,14 @@ def test_truncatable_primes_by_growth(spark):
     assert all(PRIME(n) and "0" not in str(n) for n in left[0][::20]) and 357686312646216567629137 % 10**12 in left[0]
 
 
+def test_both_truncatable_primes_by_growth(spark):
+    both = values(spark, [10**7, None, 101, 1], "bigint", lambda n: Q.both_truncatable_primes(n, True))
+    assert both[1] is None and both[3] == [] and both[2] == [n for n in range(97, 1, -1) if PRIME(n)]
+    ok = lambda s: "0" not in s and all(PRIME(int(s[k : len(s) - k])) for k in range((len(s) + 1) // 2))
+    assert len(both[0]) == 5158 and all(ok(str(n)) for n in both[0])
+    assert [n for n in both[0] if n < 20000] == [n for n in range(19999, 1, -1) if ok(str(n))]
+
+
 def test_strings(spark):
     ss = ["", "a", "Abba", "racecar level", "hello World", "aab", "ABCabc123"]
     pal = lambda s, k: sorted({s[i : i + k] for i in range(len(s) - k + 1) if s[i : i + k].lower() == s[i : i + k].lower()[::-1] and s[i : i + k].isalpha()})
