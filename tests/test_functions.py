@@ -74,6 +74,11 @@ def test_both_truncatable_primes_by_growth(spark):
     assert [n for n in both[0] if n < 20000] == [n for n in range(19999, 1, -1) if ok(str(n))]
 
 
+def test_right_truncatable_primes_by_growth(spark):
+    right = values(spark, [9 * 10**18, None, 73939133, 73939134], "bigint", Q.right_truncatable_primes)
+    assert right[1] is None and len(right[0]) == 83 and right[0][-1] == 73939133 and right[2:] == [right[0][:-1], right[0]]
+
+
 def test_strings(spark):
     ss = ["", "a", "Abba", "racecar level", "hello World", "aab", "ABCabc123"]
     pal = lambda s, k: sorted({s[i : i + k] for i in range(len(s) - k + 1) if s[i : i + k].lower() == s[i : i + k].lower()[::-1] and s[i : i + k].isalpha()})
