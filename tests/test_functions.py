@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -97,6 +98,17 @@ def test_strings(spark):
     assert values(spark, words, "array<string>", lambda w: Q.anagram_pairs(w)) == pairs
 
 
+def test_arrangements_are_made_once(monkeypatch):
+    made, own = [], Q._arrangements
+    monkeypatch.setattr(Q, "_arrangements", lambda letters, least: made.append(letters) or own(letters, least))
+    got = Q._arranged(pd.Series(["BUILDING", "GNIBUILD", None, "HOUSEHOLD", "MACHINERY"] * 200), 3, 0, 6).tolist()
+    assert sorted(made) == ["BDIILNU", "BGIILNU", "EHHOOSU"] and got[5:] == got[:-5]
+    assert got[0] == ["IBI", "IDI", "ILI", "INI", "IUI"] and got[2] is None and got[4] == []
+    odd = [x + c + y for x, y in ("Aa", "aA", "Bb", "bB") for c in "AaBb" if c not in (x, y)]
+    even = [x + z + w + y for x, y in ("Aa", "aA", "Bb", "bB") for z, w in ("Aa", "aA", "Bb", "bB") if z not in (x, y)]
+    assert own("AaBb", 3) == sorted(odd + even)
+
+
 def test_matrices_and_circles(spark):
     m = [[1, 2, 3], [4, 5, 6], [7, 8, 9]]
     box = lambda k: sum(1 for i in range(3) for f in range(i + 1, 4) for j in range(3) for e in range(j + 1, 4) if (f - i) * (e - j) == k)

@@ -9,7 +9,7 @@ are found once for all rows.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -357,7 +357,7 @@ def _witnessed(n: int) -> bool:
     return all(pow(a, odd, n) == 1 or any(pow(a, odd << i, n) == n - 1 for i in range(twos)) for a in bases)
 
 
-@lru_cache(None)
+@cache
 def _grown(ends: str, digits: int) -> np.ndarray:
     """Truncatable primes of so many digits, none of them 0, grown from those that are left when one digit of each of ``ends`` is cut."""
     left, right = "left" in ends, "right" in ends
@@ -370,7 +370,7 @@ def _grown(ends: str, digits: int) -> np.ndarray:
     return np.array(sorted(n for a in heads for x in inner for z in tails if (n := a + x * shift + z) < 2**63 and _witnessed(n)), "int64")
 
 
-@lru_cache(None)
+@cache
 def _truncatable_below(ends: str, digits: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, "int64"), *(_grown(ends, k) for k in range(1, digits + 1))])
 
@@ -404,25 +404,40 @@ def both_truncatable_primes(n, descending=False):
 
 
 def _arrangements(letters: str, least: int) -> list[str]:
-    """Distinct palindromes (case aside) that some of the letters make, grown from the outside in."""
-
-    @lru_cache(None)
-    def grow(left: tuple, size: int) -> frozenset:
-        if size == 0:
-            return frozenset([""])
-        have, out = Counter(dict(left)), set()
-        if size == 1:
-            return frozenset(have)
-        for a in have:
-            rest = have - Counter(a)
-            for b in rest:
-                if a.lower() == b.lower():
-                    inner = grow(tuple(sorted((rest - Counter(b)).items())), size - 2)
-                    out |= {a + x + b for x in inner}
-        return frozenset(out)
-
-    start = tuple(sorted(Counter(letters).items()))
-    return sorted({x for n in range(least, len(letters) + 1) for x in grow(start, n)})
+    """Distinct palindromes (case aside) that some of the sorted letters make: every chain of outer pairs is one, and so is
+    each with one of the letters left in its middle, so none is made twice."""
+    left, out = Counter(letters), []
+    alike = {a: [b for b in left if a.lower() == b.lower()] for a in left}
+
+    def grow(head: str, tail: str) -> None:
+        if 2 * len(head) >= least:
+            out.append(head + tail)
+        if 2 * len(head) + 1 >= least:
+            out.extend(head + c + tail for c in left if left[c])
+        for a in left:
+            if left[a]:
+                left[a] -= 1
+                for b in alike[a]:
+                    if left[b]:
+                        left[b] -= 1
+                        grow(head + a, b + tail)
+                        left[b] += 1
+                left[a] += 1
+
+    grow("", "")
+    return sorted(out)
+
+
+def _arranged(texts: pd.Series, least: int, a: int, b: int) -> pd.Series:
+    made = cache(_arrangements)  # of this batch, whose rows hold them anyway
+
+    def one(t):
+        if t is None:
+            return None
+        part = "".join(c for c in t[a : b + 1] if not (c.isascii() and not c.isalpha() and c.isprintable()))
+        return made("".join(sorted(part)), least) if len(part) >= least and len(set(part)) < len(part) else []
+
+    return texts.map(one)
 
 
 def palindrome_arrangements(s, least, a, b):
@@ -430,13 +445,7 @@ def palindrome_arrangements(s, least, a, b):
 
     @F.pandas_udf("array<string>")
     def run(x: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            part = "".join(c for c in t[a : b + 1] if not (c.isascii() and not c.isalpha() and c.isprintable()))
-            return _arrangements(part, least) if len(part) >= least and len(set(part)) < len(part) else []
-
-        return x.map(one)
+        return _arranged(x, least, a, b)
 
     return run(s)
 
