@@ -98,6 +98,12 @@ def test_strings(spark):
     assert values(spark, words, "array<string>", lambda w: Q.anagram_pairs(w)) == pairs
 
 
+def test_palindromes_of_a_long_text(spark):
+    # 200 million pieces, few of which have a palindrome in their middle
+    text = "abc" * 6600 + "xRaceCAR" + "é1é" + "ΣaΣ"
+    assert values(spark, [text, None, "aa", "ab😀bA"], "string", lambda s: Q.palindromes_at_least(s, 3)) == [sorted(["RaceCAR", "aceCA", "ceC", "ΣaΣ"]), None, [], []]
+
+
 def test_arrangements_are_made_once(monkeypatch):
     made, own = [], Q._arrangements
     monkeypatch.setattr(Q, "_arrangements", lambda letters, least: made.append(letters) or own(letters, least))

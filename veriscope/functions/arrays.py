@@ -290,6 +290,11 @@ def smallest_chars(s, k, ascending=True):
     return F.when(F.size(c) < k, F.slice(c, 1, 0)).otherwise(low if ascending else F.reverse(low))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value found once a row: inside a lambda it would be found again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pieces(s: Column, k: int) -> Column:
     return F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))
 
@@ -298,20 +303,45 @@ def _palindrome(x: Column) -> Column:
     return (F.lower(x) == F.lower(F.reverse(x))) & x.rlike(r"^\p{L}+$")
 
 
+def _folded(s: Column) -> Column:
+    """The characters in a form that is equal wherever ``lower`` of a piece may make them equal; null where they are no letter."""
+    return F.transform(_chars(s), lambda c: F.when(c.rlike(r"^\p{L}$"), F.when(c == "ς", "σ").otherwise(F.lower(c))))
+
+
+def _grown(s: Column, c: Column, m: int, hi: int | None) -> Column:
+    """What may be a palindrome of m, m + 2, ... characters, up to ``hi``: grown from those of m while both ends are alike."""
+    n = F.size(c)
+    same = lambda i, k: F.coalesce(F.get(c, i) == F.get(c, i + k - 1), F.lit(False))
+
+    def reach(i: Column) -> Column:
+        room = F.least(i, n - i - m, F.lit((hi - m) // 2)) if hi is not None else F.least(i, n - i - m)
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), lambda g: ~same(i - g, g * 2 + m))
+        return F.when(room < 1, room).otherwise(F.coalesce(F.get(ends, F.lit(0)) - 1, room))
+
+    starts = F.filter(F.sequence(F.lit(0), n - m), lambda i: F.forall(F.sequence(F.lit(0), F.lit((m - 1) // 2)), lambda j: same(i + j, F.lit(m) - j * 2)))
+    return F.when(n < m, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), reach(i)), lambda g: F.substring(s, i - g + 1, g * 2 + m)))))
+
+
+def _palindromes(s: Column, lo: int, hi: int | None = None) -> Column:
+    """Distinct palindromes of ``lo`` to ``hi`` characters: each has one of ``lo`` or ``lo`` + 1 in its middle, so only what surrounds those is tried."""
+    seeds = [m for m in (lo, lo + 1) if hi is None or m <= hi]
+    found = _let(s, lambda t: _let(_folded(t), lambda c: F.concat(*(_grown(t, c, m, hi) for m in seeds))))
+    return F.when(s.isNotNull(), _set(F.filter(found, _palindrome)))
+
+
 def palindromes_of_length(s, k):
     return _set(F.filter(_pieces(s, k), _palindrome))
 
 
 def palindromes_at_least(s, k):
-    n = F.length(s)
-    runs = F.flatten(F.transform(F.sequence(F.lit(k), F.greatest(n, F.lit(k))), lambda m: F.when(n < m, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(s, i, m)))))
-    return _set(F.filter(runs, _palindrome))
+    return _palindromes(s, max(k, 1))
 
 
 def palindromes_of_lengths(s, a, b, lo, hi):
     part = F.array_join(_sl(_chars(s), a, b), "")
-    found = _set(F.filter(F.flatten(F.array(*[_pieces(part, k) for k in range(lo, hi + 1)])), _palindrome))
-    return F.when(F.size(F.array_distinct(_chars(part))) == F.length(part), F.array().cast("array<string>")).otherwise(found)
+    none = lambda: F.array().cast("array<string>")
+    found = lambda p: _palindromes(p, max(lo, 1), hi) if max(lo, 1) <= hi else none()
+    return F.when(s.isNotNull(), _let(part, lambda p: F.when(F.size(F.array_distinct(_chars(p))) == F.length(p), none()).otherwise(found(p))))
 
 
 def pieces_without_repeats(s, k):
@@ -358,12 +388,12 @@ def _witnessed(n: int) -> bool:
 
 
 @cache
-def _grown(ends: str, digits: int) -> np.ndarray:
+def _truncatable_of(ends: str, digits: int) -> np.ndarray:
     """Truncatable primes of so many digits, none of them 0, grown from those that are left when one digit of each of ``ends`` is cut."""
     left, right = "left" in ends, "right" in ends
     if digits <= left + right:
         return np.array([n for n in range(10 ** (digits - 1), 10**digits) if "0" not in str(n) and _witnessed(n)], "int64")
-    inner = _grown(ends, digits - left - right).tolist()
+    inner = _truncatable_of(ends, digits - left - right).tolist()
     heads = [a * 10 ** (digits - 1) for a in range(1, 10)] if left else [0]
     tails = [1, 3, 7, 9] if right else [0]
     shift = 10 if right else 1
@@ -372,7 +402,7 @@ def _grown(ends: str, digits: int) -> np.ndarray:
 
 @cache
 def _truncatable_below(ends: str, digits: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, "int64"), *(_grown(ends, k) for k in range(1, digits + 1))])
+    return np.concatenate([np.zeros(0, "int64"), *(_truncatable_of(ends, k) for k in range(1, digits + 1))])
 
 
 def _truncatable(n: Column, ends: str, inclusive: bool, descending: bool) -> Column:
