@@ -104,6 +104,15 @@ def test_palindromes_of_a_long_text(spark):
     assert values(spark, [text, None, "aa", "ab😀bA"], "string", lambda s: Q.palindromes_at_least(s, 3)) == [sorted(["RaceCAR", "aceCA", "ceC", "ΣaΣ"]), None, [], []]
 
 
+def test_palindromes_of_lengths_in_a_long_text(spark):
+    import time
+
+    text = "abc" * 20000 + "xRaceCAR"
+    start = time.time()
+    got = values(spark, [text, None, "abcba", "abc"], "string", lambda s: Q.palindromes_of_lengths(s, 1, 70000, 3, 6))
+    assert got == [["aceCA", "ceC"], None, ["bcb"], []] and time.time() - start < 60  # the range is cut out once, not for each piece
+
+
 def test_arrangements_are_made_once(monkeypatch):
     made, own = [], Q._arrangements
     monkeypatch.setattr(Q, "_arrangements", lambda letters, least: made.append(letters) or own(letters, least))
