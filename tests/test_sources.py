@@ -113,3 +113,27 @@ def test_numbered(spark):
     rows = [(i * 7 % 101, str(i)) for i in range(101)]
     got = sorted((r["n"], r["k"]) for r in numbered(spark.createDataFrame(rows, "k int, v string"), "k", "n").collect())
     assert got == [(i, i) for i in range(101)]
+
+
+def test_a_log_is_no_single_task(spark, tmp_path):
+    """One mutation's rows are written by every task that has some, and no task sorts its rows before."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+    from veriscope import scratch
+    from veriscope.plans import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet")
+    top = Path(scratch.folder(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(top.glob("veriscope-*"))
+    got = {r["log"]: r["n"] for r in catalog.QUERIES["s8_logs_by_name"](spark, str(tmp_path)).collect()}
+    want = spark.read.parquet(f"{tmp_path}/lineitem.parquet").groupBy("l_linenumber").agg(F.count("*").alias("n")).collect()
+    assert got == {r["l_linenumber"]: r["n"] for r in want if r["l_linenumber"] in (3, 5)}
+    (made,) = set(top.glob("veriscope-*")) - before
+    assert len(list(made.glob("log=3/*.parquet"))) > 1
+
+    write = lambda: spark.range(9).selectExpr("id", "id % 3 log").write.partitionBy("log").mode("overwrite").parquet(f"{tmp_path}/out")
+    with scratch.unsorted(spark, 16):
+        write()
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "16"
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0" and spark.read.parquet(f"{tmp_path}/out").count() == 9

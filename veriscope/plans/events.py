@@ -113,5 +113,6 @@ def s21(s, d):
 @query("s23_partitioned_instances", "SELECT l_suppkey % 10 AS model, l_linenumber AS round, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def s23(s, d):
     own = log(s, d).select((F.col("model") % 10).alias("model"), F.col("mutation").alias("round"), "output")
-    L.write_instances(own.repartition("model", "round"), path := _folder(s), ["model", "round"])
+    with scratch.unsorted(s, 128):
+        L.write_instances(own.repartition("model", "round"), path := _folder(s), ["model", "round"])
     return s.read.parquet(path).groupBy(F.col("model").cast("bigint").alias("model"), F.col("round").cast("int").alias("round")).agg(F.count("*").alias("n"))
