@@ -186,3 +186,11 @@ def test_text(spark):
     assert values(spark, ["$1 $10"], "string", lambda x: T.filled(x, F.array(F.lit("p"), F.lit("q")))) == ["q q0"]
     # after A has gone the answer is C, which C does not stand before
     assert values(spark, ["D", "B", "A"], "string", lambda x: T.shifted_answer(x, F.array(F.lit("A"), F.lit("C")))) == ["C", "A", "A"]
+
+
+def test_circular_products_of_great_numbers(spark):
+    rows = [[10**18] * 3 + [2, 3], [2, None, 3], [0, 6, -1, -6], None, [2**62, 2]]
+    got = values(spark, rows, "array<bigint>", lambda x: Q.circular_runs_with_product(x, 6))
+    assert got == [[[2, 3]], [[3, 2]], [[6], [-1, -6]], None, []]
+    assert values(spark, [[2**62, 2], [0, 5]], "array<bigint>", lambda x: Q.circular_runs_with_product(x, 2**63)) == [[[2**62, 2], [2, 2**62]], []]
+    assert values(spark, [[4, 0], [5]], "array<bigint>", lambda x: Q.circular_runs_with_product(x, 0)) == [[[4, 0], [0], [0, 4]], []]

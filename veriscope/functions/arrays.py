@@ -39,6 +39,11 @@ def _set(l: Column) -> Column:
     return F.array_sort(F.array_distinct(l))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value found once a row: inside a lambda it would be found again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _divisor(n: Column, upto: Column) -> Column:
     """Whether some number from 2 to ``upto`` divides n."""
     return F.when(upto < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(2).cast("bigint"), upto.cast("bigint")), lambda d: n % d == 0))
@@ -234,12 +239,36 @@ def common_between(l, m, a, b):
 
 
 def circular_runs_with_product(l, k):
-    """Contiguous runs of the array taken as a circle whose product is k, by start, then length."""
-    n = F.size(l)
-    run = lambda j, m: F.slice(F.concat(l, l), j, m)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda j: F.transform(F.sequence(F.lit(1), n), lambda m: run(j, m))))
-    product = lambda r: F.aggregate(r, F.lit(1).cast("decimal(38,0)"), lambda p, x: (p * x).cast("decimal(38,0)"))
-    return F.when(n == 0, F.array().cast("array<array<bigint>>")).otherwise(F.filter(runs, lambda r: product(r) == k))
+    """Contiguous runs of the array taken as a circle whose product is k, by start, then length.  Below 2^63, k is divided by
+    one element of a run after the other, so no product is too large and runs whose first does not divide it are not tried."""
+    wide = not -(2**63) < k < 2**63
+    whole = "decimal(38,0)" if wide else "bigint"
+    first, last = (F.lit(str(v)).cast(whole) for v in ((1, k) if wide or k == 0 else (k, 1)))
+
+    def step(r: Column, x: Column) -> Column:
+        if wide:
+            return (r * x).cast(whole)
+        if k == 0:
+            return r * F.when(x == 0, 0).when(x != 0, 1)
+        return F.when((x != 0) & (r % x == 0), F.call_function("div", r, x)).otherwise(F.lit(0).cast(whole))
+
+    def lengths(run: Column) -> Column:
+        start = F.struct(first.alias("r"), F.lit(1).alias("m"), F.array().cast("array<int>").alias("found"))
+
+        def merge(s: Column, x: Column) -> Column:
+            r = step(s["r"], x.cast(whole))
+            return F.struct(r.alias("r"), (s["m"] + 1).alias("m"), F.when(r == last, F.array_append(s["found"], s["m"])).otherwise(s["found"]).alias("found"))
+
+        return F.aggregate(run, start, merge, lambda s: s["found"])
+
+    def runs(c: Column, n: Column) -> Column:
+        starts = F.sequence(F.lit(1), n)
+        if not wide and k:
+            starts = F.filter(starts, lambda j: step(first, F.get(c, j - 1).cast(whole)) != 0)
+        return F.flatten(F.transform(starts, lambda j: F.transform(lengths(F.slice(c, j, n)), lambda m: F.slice(c, j, m))))
+
+    found = _let(l, lambda own: _let(F.concat(own, own), lambda c: runs(c, F.size(own))))
+    return F.when(F.size(l) == 0, F.array().cast("array<array<bigint>>")).otherwise(found)
 
 
 # strings
@@ -290,11 +319,6 @@ def smallest_chars(s, k, ascending=True):
     return F.when(F.size(c) < k, F.slice(c, 1, 0)).otherwise(low if ascending else F.reverse(low))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with the value found once a row: inside a lambda it would be found again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _pieces(s: Column, k: int) -> Column:
     return F.when(F.length(s) < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))
 
